@@ -12,6 +12,8 @@ from posolog.llm.common import table, written
 from posolog.llm.decontaminate import find_matches, judged
 from posolog.llm.jaccard_join import near_components
 from posolog.llm.line_dedup import dedup_lines
+from posolog.llm.matroska import read_media, to_media
+from posolog.llm.pii import BASE, find_pii, listed
 from posolog.llm.url_filter import judge_urls
 from posolog.llm.warc import read_archives, write_archives
 
@@ -27,6 +29,16 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    media = to_media(docs).select("doc_id", "n_bytes", "media")
+    stored = media.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    return read_media(stored).select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = decode(encode(table(spark, sf_dir, "documents")).select("doc_id", "ids"))
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -36,6 +48,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    of = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
+    return found.select("doc_id", *[of(k) for k in BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     archives = written(write_archives(pages), "archives")
@@ -49,8 +68,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_matroska": op3_matroska,
     "op4_bpe": op4_bpe,
     "op7_url_filter": op7_url_filter,
+    "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
 }
