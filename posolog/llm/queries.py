@@ -12,8 +12,10 @@ from posolog.llm.common import table, written
 from posolog.llm.decontaminate import find_matches, judged
 from posolog.llm.jaccard_join import near_components
 from posolog.llm.line_dedup import dedup_lines
+from posolog.llm.lm import score_documents
 from posolog.llm.matroska import read_media, to_media
 from posolog.llm.pii import BASE, find_pii, listed
+from posolog.llm.quality import fit, held_out, score_quality
 from posolog.llm.url_filter import judge_urls
 from posolog.llm.warc import read_archives, write_archives
 
@@ -44,6 +46,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    votes = fit(documents, table(spark, sf_dir, "labels"))
+    return score_quality(documents, votes).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -70,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_matroska": op3_matroska,
     "op4_bpe": op4_bpe,
+    "op5_lm_score": op5_lm_score,
+    "op6_quality": op6_quality,
     "op7_url_filter": op7_url_filter,
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
