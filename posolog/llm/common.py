@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -43,6 +44,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(spark, label)
     schema = df.schema
     df.write.parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what is now in the table
     return spark.read.schema(schema).parquet(path)
 
 

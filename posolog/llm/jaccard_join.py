@@ -1,13 +1,14 @@
 """N-gram Jaccard join with prefix filters under several global token orders.
 
 Sets of equal shingles are one node. Two sets with Jaccard >= t share a token among the first n - ceil(t n) + 1 of each
-set under any global order of tokens. Order 1 puts tokens of many documents last and gives the candidates; orders 2 and 3
-are independent and their filters are intersected before a pair's sets are compared.
-
-A bucket of few documents gives its pairs. A large one doesn't: with K the tokens that most of its members have, two
-members z and y differ by at most |z^K| + |y^K| tokens, so the member nearest to K is linked to all that this bound
-admits, and every other linked pair shares a token of z^K and y^K. Buckets by those tokens hold half the members at
-most, and the step is repeated on those that are still large. No link is lost and no large group is paired with itself.
+set under any global order of tokens. All put tokens of many documents last; order 1 gives the candidates, orders 2 and 3
+are independent and their filters are intersected before a pair's sets are compared. There the prefixes hold k - 1
+tokens more, of which linked sets share k at least.
+
+A bucket of few documents gives its pairs. Large ones that overlap are one family and don't: with K the tokens that most
+of its members have, two members z and y differ by at most |z^K| + |y^K| tokens, so the member nearest to K is linked to
+all that this bound admits, and every other linked pair shares tokens of z^K and y^K. Buckets by prefixes of those are
+taken the same way as long as some are large. No link is lost and no large group is paired with itself.
 """
 
 from __future__ import annotations
@@ -17,18 +18,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from posolog.llm.common import written
+from posolog.llm.common import small, written
 from posolog.llm.components import connected
 
 SHINGLE_WORDS = 4
 THRESHOLD = (85, 100)
 #: Buckets of up to so many sets give their pairs.
 PAIRED = 32
+#: Members that name the core of a large bucket.
+CORE_SETS = 9
 #: Tokens in more than this share of the documents rank by their count; there are at most (mean set size / share).
-HOT_SHARE = 0.001
+HOT_SHARE = 0.0001
+#: Broadcast ids of documents only up to so many; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Broadcast the cores of large buckets only up to so many tokens in all.
+BROADCAST_TOKENS = 4_000_000
 #: Shingles that one block of the hot-token count holds.
 BLOCK_TOKENS = 1 << 21
 
@@ -43,13 +50,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> c)
 
 
-def shingle_set(raw: bytes | None, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted 64-bit hashes of a text's distinct shingles; a shorter text is one shingle, an empty one has none."""
+def _hashes(raw: bytes | None) -> np.ndarray:
     found = (raw or b"").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    each = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    size = min(words, len(found))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+
+
+def shingle_set(raw: bytes | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles; a shorter text is one shingle, an empty one has none."""
+    each = _hashes(raw)
+    if not len(each):
+        return each
+    size = min(words, len(each))
     folded = each[: len(each) - size + 1] + np.uint64(size)
     for k in range(1, size):
         folded = folded * _FOLD + each[k : len(each) - size + 1 + k]
@@ -61,19 +72,37 @@ def prefix_length(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
     return n - -(-num * n // den) + 1
 
 
-class Order:
-    """A global order of tokens: hot ones last by their counts, the others by a seeded hash."""
+def filter_prefix(tokens: np.ndarray, p: int) -> np.ndarray:
+    """A filter's prefix as distinct 32-bit values behind the number of them that a linked set shares at least.
+
+    It is made of p + k - 1 tokens, k = p // 2 + 1; tokens that fall together in 32 bits lower the number.
+    """
+    short = np.unique(tokens.astype(np.uint32))
+    return np.r_[np.int32(max(1, p // 2 + 1 - (len(tokens) - len(short)))), short.view(np.int32)]
+
+
+class Orders:
+    """Global orders of tokens: by a seeded hash, then hot tokens by their counts."""
 
-    def __init__(self, hot: np.ndarray, counts: np.ndarray, seed: int):
-        self.hot, self.counts, self.seed = hot, counts, np.uint64(seed)
+    def __init__(self, hot: np.ndarray, counts: np.ndarray):
+        self.hot, self.counts = hot, np.minimum(counts, (1 << 20) - 1).astype(np.uint64) << np.uint64(44)
+        #: Whether any hot token begins with these 20 bits.
+        self.may = np.zeros(1 << 20, bool)
+        self.may[hot >> np.uint64(44)] = True
 
-    def first(self, tokens: np.ndarray, p: int) -> np.ndarray:
-        key = _mixed(tokens ^ self.seed)
-        if not len(self.hot):
-            return tokens[np.argsort(key)[:p]]
-        at = np.searchsorted(self.hot, tokens)
-        at[at == len(self.hot)] = 0
-        return tokens[np.lexsort((key, np.where(self.hot[at] == tokens, self.counts[at], 0)))[:p]]
+    def heat(self, tokens: np.ndarray) -> np.ndarray:
+        """The upper bits of the tokens' ranks: the counts of hot ones."""
+        out = np.zeros(len(tokens), np.uint64)
+        some = np.flatnonzero(self.may[tokens >> np.uint64(44)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.hot, tokens[some]), len(self.hot) - 1)
+            out[some] = np.where(self.hot[at] == tokens[some], self.counts[at], np.uint64(0))
+        return out
+
+    def first(self, tokens: np.ndarray, heat: np.ndarray, seed: int, p: int) -> np.ndarray:
+        """The p tokens of the lowest ranks, in no order unless they are all."""
+        rank = heat | _mixed(tokens ^ np.uint64(seed)) >> np.uint64(20)
+        return tokens[np.argpartition(rank, p - 1)[:p]] if 0 < p < len(tokens) else tokens[np.argsort(rank)]
 
 
 def _raw(column: pa.Array) -> list[bytes | None]:
@@ -112,10 +141,10 @@ def _hot_tokens(texts: DataFrame, words: int, share: float) -> tuple[np.ndarray,
 
 
 def _sketches(docs: DataFrame, hot, words: int, threshold: tuple[int, int]) -> DataFrame:
-    """Rows (_id, n, f1, f2, p1, p2, p3): set size, fingerprint, prefixes under three orders (2 and 3 in 32 bits)."""
+    """Rows (_id, n, f1, f2, p1, p2, p3): set size, fingerprint, prefix under order 1, filters of orders 2 and 3."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = [Order(*hot.value, seed) for seed in (1, 2, 3)]
+        orders = Orders(*hot.value)
         for batch in batches:
             ids, n, f1, f2, prefixes = batch.column(0), [], [], [], ([], [], [])
             for raw in _raw(batch.column(1)):
@@ -125,9 +154,10 @@ def _sketches(docs: DataFrame, hot, words: int, threshold: tuple[int, int]) -> D
                 h = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 f1.append((h & (2**64 - 1)) - 2**63)
                 f2.append((h >> 64) - 2**63)
-                for k, order in enumerate(orders):
-                    first = order.first(tokens, p)
-                    prefixes[k].append(first.view(np.int64) if k == 0 else first.astype(np.uint32).view(np.int32))
+                heat = orders.heat(tokens)
+                prefixes[0].append(orders.first(tokens, heat, 1, p).view(np.int64))
+                for k in (1, 2):
+                    prefixes[k].append(filter_prefix(orders.first(tokens, heat, k + 1, p + p // 2), p))
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else [], kind)) for x, kind in zip(prefixes, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), *lists], ["_id", "n", "f1", "f2", "p1", "p2", "p3"])
 
@@ -139,26 +169,32 @@ def _sets(docs: DataFrame, nodes: DataFrame, hot, words: int) -> DataFrame:
     """Rows (v, n, s): the tokens of the nodes' sets under order 1, taken from the texts again."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(*hot.value, 1)
+        orders = Orders(*hot.value)
         for batch in batches:
             ids, sets = [], []
             for v, f1, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _raw(batch.column(2)), strict=True):
                 tokens = shingle_set(raw, words)
                 if (xxhash.xxh3_128_intdigest(tokens.tobytes()) & (2**64 - 1)) - 2**63 == f1:
                     ids.append(v)
-                    sets.append(order.first(tokens, len(tokens)).view(np.int64))
+                    sets.append(orders.first(tokens, orders.heat(tokens), 1, len(tokens)).view(np.int64))
             offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else [], pa.int64()))], ["v", "n", "s"])
 
     kind = docs.schema["_id"].dataType.simpleString()
     texts = docs.join(nodes, docs["_id"] == nodes["v"]).select("v", "f1", "_text")
-    return texts.mapInArrow(whole, f"v {kind}, n int, s array<bigint>").dropDuplicates(["v"])
+    return texts.mapInArrow(whole, f"v {kind}, n int, s array<bigint>")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows (g, v, n) of buckets with two rows or more."""
+    return rows.join(rows.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "g")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Rows (g, v, n) of buckets with two members or more, with the bucket's size and smallest member."""
-    sizes = rows.groupBy("g").agg(F.count("*").alias("members"), F.min("v").alias("lead")).filter("members > 1")
-    return rows.join(sizes, "g")
+    """Rows (g, v, n, members) of buckets with two members or more; of buckets with the same members one stays."""
+    sizes = rows.groupBy("g").agg(F.count("*").alias("members"), *[F.bit_xor(F.xxhash64(F.lit(k), "v")).alias(f"x{k}") for k in (1, 2)])
+    kept = sizes.filter("members > 1").groupBy("members", "x1", "x2").agg(F.min("g").alias("g")).select("g", "members")
+    return rows.join(kept, "g")
 
 
 def _pairs(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -170,55 +206,92 @@ def _pairs(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return met.filter(fits).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
 
 
-def _pass_orders(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of the pairs those that share prefix tokens under orders 2 and 3 too."""
-    side = lambda c: nodes.select(F.col("v").alias(c), F.col("p2").alias(f"{c}2"), F.col("p3").alias(f"{c}3"))
+def _pass_orders(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of the pairs those that share enough prefix tokens under orders 2 and 3 too."""
+    pairs = written(pairs, "candidates")
+    named = _named(pairs)
+    prefixes = sketches.join(named, sketches["_id"] == named["v"]).select("v", "p2", "p3")
+    side = lambda c: prefixes.select(F.col("v").alias(c), F.col("p2").alias(f"{c}2"), F.col("p3").alias(f"{c}3"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
+    rest = lambda c: F.slice(c, F.lit(2), F.size(c))
+    shares = lambda k: F.size(F.array_intersect(rest(f"a{k}"), rest(f"b{k}"))) >= F.least(F.get(f"a{k}", F.lit(0)), F.get(f"b{k}", F.lit(0)))
+    return both.filter(shares(2) & shares(3)).select("a", "b")
+
+
+def _named(*tables: DataFrame) -> DataFrame:
+    """The distinct ids (v) in all columns a, b and v of the tables, broadcast if their count allows."""
+    ids = None
+    for t in tables:
+        for c in {"a", "b", "v"}.intersection(t.columns):
+            ids = t.select(F.col(c).alias("v")) if ids is None else ids.union(t.select(c))
+    ids = written(ids.distinct(), "named")
+    return small(ids, ids.count(), BROADCAST_IDS)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     num, den = threshold
+    pairs = written(pairs, "filtered")
+    sets = sets.join(_named(pairs), "v", "left_semi")
     side = lambda c: sets.select(F.col("v").alias(c), F.col("n").alias(f"{c}n"), F.col("s").alias(f"{c}s"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("as", "bs")))
     return met.filter(den * F.col("i") >= num * (F.col("an") + F.col("bn") - F.col("i"))).select("a", "b")
 
 
+def _core(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (g, k): the tokens that more than half of a few members have, chosen by hash. Any k gives right links; one
+    near the members gives few keys."""
+    few = rows.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("v")))).filter(F.col("r") <= CORE_SETS).drop("r")
+    few = written(few, "few")
+    held = sets.join(small(few, few.count(), BROADCAST_IDS), "v").groupBy("g").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("t"), F.floor(F.count("*") / 2).cast("int").alias("half"))
+    core = written(held.select("g", F.array_distinct(F.filter("t", lambda x, i: F.get("t", i + F.col("half")) == x)).alias("k")), "core")
+    return small(core, core.agg(F.coalesce(F.sum(F.size("k")), F.lit(0))).first()[0], BROADCAST_TOKENS)
+
+
 def _split(rows: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """One step on large buckets (g, v): the links that the bound proves, and the rows of the buckets that follow."""
+    """One step on large buckets (g, v): the links that the bound proves, and the rows of the buckets that follow.
+
+    With d = |v^K| and u = d - (1 - t) / (1 + t) n, two members are linked if their u sum to 0 or less, and if linked
+    otherwise share at least half that sum of the tokens of z^K and y^K. Prefixes under one order, tokens outside K
+    first, are as long as that asks. Members that the centre (of the least u) is linked to need only meet the others.
+    """
     num, den = threshold
-    members = rows.select("g", "v").join(sets, "v")
-    sizes = rows.groupBy("g").agg(F.count("*").alias("members"))
-    tokens = members.select("g", F.explode("s").alias("t")).groupBy("g", "t").agg(F.count("*").alias("c"))
-    core = tokens.join(sizes, "g").filter("2 * c > members").groupBy("g").agg(F.collect_list("t").alias("k"))
+    rows = rows.select("g", "v")
+    members = sets.join(small(rows, rows.count(), BROADCAST_IDS), "v")
     apart = (
-        members.join(core, "g", "left")
-        .withColumn("k", F.coalesce("k", F.array().cast("array<bigint>")))
-        .select("g", "v", "n", F.array_except("s", "k").alias("more"), F.array_except("k", "s").alias("less"))
-        .withColumn("u", (den + num) * (F.size("more") + F.size("less")) - (den - num) * F.col("n"))
+        members.join(_core(rows, sets), "g")
+        .select("g", "v", "n", F.concat(F.array_except("s", "k"), F.array_except("k", "s")).alias("d"))
+        .withColumn("u", (den + num) * F.size("d") - (den - num) * F.col("n"))
+        .withColumn("size", F.size("d"))
+        .withColumn("d", F.slice("d", F.lit(1), F.floor(F.col("n") * (den - num) / num).cast("int") + 1))
     )
-    p = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    keys = F.when(F.size("more") >= p, F.slice("more", F.lit(1), p.cast("int"))).otherwise(F.concat("more", "less"))
-    apart = written(apart.select("g", "v", "n", "u", keys.alias("keys")), "apart")
-    centre = apart.groupBy("g").agg(F.min(F.struct("u", "v")).alias("m"))
-    proven = apart.select("g", "v", "u").join(centre, "g").filter((F.col("u") + F.col("m.u") <= 0) & (F.col("v") != F.col("m.v"))).select(F.col("m.v").alias("a"), F.col("v").alias("b"))
-    following = apart.select("v", "n", "g", F.explode("keys").alias("t")).select(F.xxhash64("g", "t").alias("g"), "v", "n")
+    apart = written(apart, "apart")
+    centres = apart.groupBy("g").agg(F.min(F.struct("u", "v")).alias("m"), F.max("u").alias("worst"))
+    placed = apart.join(centres, "g").withColumn("linked", F.col("u") + F.col("m.u") <= 0)
+    proven = placed.filter(F.col("linked") & (F.col("v") != F.col("m.v"))).select(F.col("m.v").alias("a"), F.col("v").alias("b"))
+    shared = F.greatest(F.lit(1), F.ceil(F.when(F.col("linked"), F.col("u") - F.col("m.u")).otherwise(F.col("u") + F.col("m.u")) / (2 * (den + num))))
+    keys = F.slice("d", F.lit(1), F.greatest(F.lit(0), F.col("size") - shared + 1).cast("int"))
+    following = placed.filter(F.col("worst") + F.col("m.u") > 0).select("v", "n", "g", F.explode(keys).alias("t")).select(F.xxhash64("g", "t").alias("g"), "v", "n")
     return proven, following
 
 
-def links(docs: DataFrame, nodes: DataFrame, hot, words: int, threshold: tuple[int, int]) -> DataFrame:
+def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, hot, words: int, threshold: tuple[int, int]) -> DataFrame:
     """Edges (a, b) between nodes whose closure is that of all links with Jaccard >= threshold."""
-    rows = written(_counted(nodes.select(F.explode("p1").alias("g"), "v", "n")), "buckets")
-    pairs = written(_pass_orders(_pairs(rows, threshold), nodes), "pairs")
-    large = written(rows.filter(F.col("members") > PAIRED).select(F.xxhash64("lead").alias("g"), "v", "n").distinct(), "large")
-    named = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).union(large.select("v")).distinct()
-    sets = written(_sets(docs, nodes.select("v", "f1").join(named, "v"), hot, words), "sets")
-    edges = [_verified(pairs, sets, threshold)]
+    tokens = sketches.select(F.explode("p1").alias("g"), F.col("_id").alias("v"), "n")
+    shared = written(_shared(tokens), "shared").join(nodes.select("v"), "v", "left_semi").distinct()
+    rows = written(_counted(written(shared, "shared")), "buckets")
+    pairs = written(_pass_orders(_pairs(rows, threshold), sketches), "filtered")
+    leads = rows.filter(F.col("members") > PAIRED).groupBy("g").agg(F.min("v").alias("lead"))
+    large = rows.join(leads, "g").select("lead", "v", "n")
+    families = connected(large.select(F.col("lead").alias("a"), F.col("v").alias("b")))
+    large = written(large.select("v", "n").distinct().join(families.select("v", F.col("component").alias("g")), "v"), "large")
+    wanted = written(_named(pairs, large).join(nodes, "v"), "wanted")
+    sets = written(_sets(docs, small(wanted, wanted.count(), BROADCAST_IDS), hot, words), "sets")
+    edges = [written(_verified(pairs, sets, threshold), "links")]
     while not large.isEmpty():
         proven, following = _split(large, sets, threshold)
-        rows = written(_counted(following), "buckets")
-        edges += [proven, _verified(_pass_orders(_pairs(rows, threshold), nodes), sets, threshold)]
-        large = written(rows.filter(F.col("members") > PAIRED).select("g", "v", "n"), "large")
+        rows = written(_counted(written(_shared(following).distinct(), "shared")), "buckets")
+        edges += [proven, written(_verified(_pass_orders(_pairs(rows, threshold), sketches), sets, threshold), "links")]
+        large = written(rows.filter(F.col("members") > PAIRED).select("g", "v", "n").distinct(), "large")
     out = edges[0]
     for more in edges[1:]:
         out = out.union(more)
@@ -240,7 +313,6 @@ def near_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     hot = spark.sparkContext.broadcast(_hot_tokens(docs.select("_text"), words, HOT_SHARE))
     sketches = written(_sketches(docs, hot, words, threshold), "sketches")
     groups = written(sketches.filter("n > 0").groupBy("f1", "f2").agg(F.min("_id").alias("v")), "groups")
-    nodes = written(sketches.join(groups, ["f1", "f2"]).filter("_id = v").dropDuplicates(["v", "f1"]).select("v", "n", "f1", "p1", "p2", "p3"), "nodes")
-    found = written(connected(links(docs, nodes, hot, words, threshold)), "components")
+    found = written(connected(links(docs, sketches, groups.filter("v IS NOT NULL").select("v", "f1"), hot, words, threshold)), "components")
     named = groups.join(found, "v", "left").select("f1", "f2", F.coalesce("component", "v").alias("component_id"))
     return sketches.select("_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left").select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
