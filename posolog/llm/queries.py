@@ -21,7 +21,7 @@ from posolog.llm.warc import read_archives, write_archives
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ g AS (
   SELECT doc_id, list_distinct(flatten(list(range(first_at, first_at + covers)))) AS gone
   FROM w JOIN o USING (kind, body) WHERE doc_id * 10000000 + first_at <> origin GROUP BY doc_id)
 SELECT l.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-  sha256(array_to_string(list_filter(lines, lambda x, i: gone IS NULL OR NOT list_contains(gone, CAST(i - 1 AS BIGINT))), chr(10))) AS text_sha256
+  array_to_string(list_filter(lines, lambda x, i: gone IS NULL OR NOT list_contains(gone, CAST(i - 1 AS BIGINT))), chr(10)) AS text
 FROM l LEFT JOIN g USING (doc_id)
 """,
     "op2_decontaminate": r"""
