@@ -16,9 +16,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose encodings a worker keeps between blocks, and bytes of text in a block.
-KEPT_WORDS = 300_000
-BLOCK_BYTES = 4 << 20
+#: Words whose encodings, and pairs of tokens whose seams a worker keeps between blocks; signs of text in a block.
+KEPT_WORDS = 200_000
+KEPT_PAIRS = 250_000
+BLOCK_SIGNS = 2 << 20
+#: Rows that are Python strings at once.
+ROWS = 256
 
 _NEVER = 1 << 30
 
@@ -60,7 +63,7 @@ class Vocabulary:
             if self.rank[whole] < 0:
                 self.rank[whole], self.parts[whole] = r, (left, right)
         self.id_of = {b: i for i, b in self.bytes_of.items() if i not in self.special.values() and (len(b) == 1 or i in self.parts)}
-        self.agree: dict[tuple[int, int], bool] = {}
+        self.agree: dict[int, bool] = {}
         self.id_of = {b: i for b, i in self.id_of.items() if self._whole(i)}
         self.longest = max(map(len, self.id_of))
         self.packed = {i: int(i).to_bytes(4, "little") for i in self.bytes_of}
@@ -115,10 +118,10 @@ class Vocabulary:
                         continue
                     if not start:
                         break
-                    pair = (last[start], token)
+                    pair = last[start] << 32 | token
                     fits = agree.get(pair)
                     if fits is None:
-                        fits = agree[pair] = self.stays_apart(*pair)
+                        fits = agree[pair] = self.stays_apart(last[start], token)
                     if fits:
                         break
                 last.append(token)
@@ -127,9 +130,14 @@ class Vocabulary:
                 out.append(packed[last[n]])
                 n -= len(bytes_of[last[n]])
             self.kept[word] = b"".join(reversed(out))
-        if len(agree) > 4 * KEPT_WORDS:
+        if len(agree) > KEPT_PAIRS:
             agree.clear()
 
+    def forget(self) -> None:
+        """Drops what is kept between blocks: workers live on after their task."""
+        self.kept.clear()
+        self.agree.clear()
+
     def pieces(self, text: str) -> list[str | int]:
         """The text's words in order; an added token is its id."""
         if self.cut_special is None or not self.cut_special.search(text):
@@ -165,8 +173,8 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-def _mapped(df: DataFrame, source: Column, name: str, kind: str, work: Callable[[Iterator[pa.Array]], Iterator[pa.Array]]) -> DataFrame:
-    """df with a column `name` that work() makes of batches of `source`; a column of that name is replaced."""
+def _mapped(df: DataFrame, source: Column, name: str, kind: str, work: Callable[[pa.Array], Iterator[list]], done: Callable[[], None] = lambda: None) -> DataFrame:
+    """df with a column `name` that work() makes of batches of `source`, done() at a task's end; one of that name goes."""
     kept = df.drop(name)
     fields = [*kept.schema.fields]
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` {kind}"])
@@ -177,6 +185,7 @@ def _mapped(df: DataFrame, source: Column, name: str, kind: str, work: Callable[
             out = [x for part in work(columns[-1]) for x in part]
             made = pa.array(out, pa.binary() if kind == "binary" else pa.string())
             yield pa.RecordBatch.from_arrays([*columns[:-1], made], [*names[:-1], name])
+        done()
 
     return kept.withColumn("_source_", source).mapInArrow(run, shape)
 
@@ -192,15 +201,16 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None, ids_c
 
     def work(column: pa.Array) -> Iterator[list[bytes]]:
         own, block, held = vocabulary(path), [], 0
-        for text in column.to_pylist():
-            block.append(text or "")
-            held += len(block[-1])
-            if held > BLOCK_BYTES:
-                yield own.encode(block)
-                block, held = [], 0
+        for k in range(0, len(column), ROWS):
+            for text in column.slice(k, ROWS).to_pylist():
+                block.append(text or "")
+                held += len(block[-1])
+                if held > BLOCK_SIGNS:
+                    yield own.encode(block)
+                    block, held = [], 0
         yield own.encode(block)
 
-    return _mapped(df, F.col(text_col), ids_col, "binary", work)
+    return _mapped(df, F.col(text_col), ids_col, "binary", work, lambda: vocabulary(path).forget())
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, text_col: str = "decoded") -> DataFrame:
@@ -209,6 +219,7 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, text_co
 
     def work(column: pa.Array) -> Iterator[list[str]]:
         own = vocabulary(path)
-        yield [own.decode(ids or b"") for ids in column.to_pylist()]
+        for k in range(0, len(column), ROWS):
+            yield [own.decode(ids or b"") for ids in column.slice(k, ROWS).to_pylist()]
 
     return _mapped(df, F.col(ids_col), text_col, "string", work)
