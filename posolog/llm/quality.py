@@ -168,14 +168,14 @@ def score_quality(documents: DataFrame, votes: Votes, text_col: str = "text", th
     """
     held = documents.sparkSession.sparkContext.broadcast(votes)
     kept = documents.drop("score", "predicted")
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "score double"])
+    shape, at = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "score double"]), kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _raw(batch.column(batch.num_columns - 1))
-            scores = [held.value.score(texts[k : k + BLOCK_ROWS]) for k in range(0, len(texts), BLOCK_ROWS)]
+            texts = batch.column(at)
+            scores = [held.value.score(_raw(texts.slice(k, BLOCK_ROWS))) for k in range(0, len(texts), BLOCK_ROWS)]
             made = pa.array(np.clip(np.concatenate(scores), 0, 1) if scores else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "score"])
 
-    scored = kept.withColumn("_text_", F.col(text_col)).mapInArrow(run, shape)
+    scored = kept.mapInArrow(run, shape)
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
