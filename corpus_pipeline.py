@@ -12,6 +12,8 @@ from posolog.llm.jaccard_join import near_components
 from posolog.llm.line_dedup import dedup_lines
 from posolog.llm.quality import fit, score_quality
 
+#: Near copies share so large a part of their shingles of so many words; op10's own values bind only its query.
+NEAR_WORDS, NEAR_THRESHOLD = 5, (80, 100)
 #: Broadcast the ids of copies only up to so many.
 BROADCAST_IDS = 500_000
 
@@ -32,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies; rows with a null id stay."""
-    copies = written(near_components(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    copies = written(near_components(docs, words=NEAR_WORDS, threshold=NEAR_THRESHOLD).filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(small(copies, copies.count(), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -57,3 +57,12 @@ def test_run_is_the_stages(spark, corpus):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, corpus)
     assert sorted(r.ids_sha256 for r in pipeline.run(spark, corpus).collect()) == sorted(r.ids_sha256 for r in docs.collect())
+
+
+def test_near_dedup_takes_five_words_and_four_fifths(spark):
+    words = [f"w{k}" for k in range(50)]
+    changed = lambda *places: " ".join("changed" if k in places else w for k, w in enumerate(words))
+    other = " ".join(f"x{k}" for k in range(50))
+    rows = [(1, changed()), (2, changed(25)), (3, other), (4, other.replace("x12 ", "p ").replace("x30 ", "q "))]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], FIELDS)
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()) == [1, 3, 4]
