@@ -56,6 +56,18 @@ def charset(prefix: bytes) -> str:
     raise ValueError("the text is in no known encoding")
 
 
+def _whole_charset(spark: SparkSession, path: str, prefix: bytes) -> str:
+    """The charset of all of a file's lines, found by a distributed scan; the prefix alone rules UTF-8 out but not in."""
+    kind = charset(prefix)
+    if kind == "UTF-8" and spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty():
+        return kind
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    lines = spark.read.csv(path, schema="value string", encoding="MS949", sep="\x01", quote="")
+    if not lines.filter(F.col("value").contains("\ufffd")).isEmpty():  # what MS949 can't decode becomes this sign, which it doesn't have
+        raise ValueError("the text is in no known encoding")
+    return "MS949"
+
+
 def delimiter(line: str) -> str:
     """The delimiter that a header line has most often outside quotes; a comma for a single column."""
     bare = re.sub(r'"[^"]*"', "", line)
@@ -78,9 +90,7 @@ def read_csv(spark: SparkSession, path: str) -> Sheet:
     """A delimited file with a header as one sheet: text columns, texts for nothing as null, blank lines left out."""
     check_name(path)
     prefix = _prefix(spark, path)
-    kind = charset(prefix)
-    if kind != "UTF-8":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    kind = _whole_charset(spark, path, prefix)
     first = prefix.decode("utf-8-sig" if kind == "UTF-8" else "cp949", "replace").lstrip("\r\n").split("\n", 1)[0]
     rows = spark.read.csv(path, header=True, inferSchema=False, encoding=kind, sep=delimiter(first), multiLine=False, quote='"', escape='"')
     clean = rows.select(*[F.when(~F.col(f"`{c}`").isin(*NA_TEXTS), F.col(f"`{c}`")).alias(c) for c in rows.columns])

@@ -92,6 +92,18 @@ def test_csv(spark, tmp_path):
         charset(b"\xff\xff\xff")
 
 
+def test_csv_charset_is_that_of_the_whole_file(spark, tmp_path):
+    late = b"patient_id,medication\n" + b"P1,Risperdal 2mg BID\n" * 60000
+    assert len(late) > 1 << 20
+    (tmp_path / "late.csv").write_bytes(late + "P2,리스페달 2mg BID\n".encode("cp949"))
+    assert [r.medication for r in read_csv(spark, f"{tmp_path}/late.csv").rows.filter("patient_id = 'P2'").collect()] == ["리스페달 2mg BID"]
+    (tmp_path / "utf.csv").write_bytes(late + "P2,리스페달 2mg BID\n".encode())
+    assert [r.medication for r in read_csv(spark, f"{tmp_path}/utf.csv").rows.filter("patient_id = 'P2'").collect()] == ["리스페달 2mg BID"]
+    (tmp_path / "none.csv").write_bytes(late + b"P2,\xff\xff\xff\n")
+    with pytest.raises(ValueError):
+        read_csv(spark, f"{tmp_path}/none.csv")
+
+
 def test_workbooks(spark, tmp_path):
     save(spark, workbook([("입력", sample(spark))]), f"file://{tmp_path}/s.xlsx")
     got = read_xlsx(spark, f"{tmp_path}/s.xlsx")
