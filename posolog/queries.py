@@ -144,7 +144,7 @@ def src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     from posolog.sources.work import scratch
 
     path = f"{scratch(spark)}/sample.csv"
-    save(spark, "\n".join(";".join(r) for r in [SAMPLE[0], *SAMPLE[1], ("환자3", "리스페달 ", "NA", "mg", "BID")]).encode("cp949"), path)
+    save(spark, "\n".join(";".join(r) for r in [SAMPLE[0], *SAMPLE[1], ("환자3", "리스페달 ", "NA", "mg", "BID"), ("환자4", '"리스페달 2mg BID\n아빌리파이 15mg QD"', "", "", "")]).encode("cp949"), path)
     return read_csv(spark, path).rows
 
 

@@ -74,6 +74,19 @@ def delimiter(line: str) -> str:
     return max(DELIMITERS, key=lambda d: (bare.count(d), d == ","))
 
 
+def header_record(text: str) -> str:
+    """The first record of a text; its quoted cells may hold line feeds."""
+    line = text.split("\n", 1)[0]
+    return re.match(r'(?:"[^"]*"|[^"\n])*', text).group() if line.count('"') % 2 else line
+
+
+def _broken_cells(spark: SparkSession, path: str, sep: str) -> bool:
+    """Whether any line opens a quoted cell that it doesn't close, found by a distributed scan of lines."""
+    d = re.escape(sep)
+    closed = F.regexp_replace("value", rf'(?<=^|{d})"[^"]*+(?:""[^"]*+)*+"(?={d}|$)', "")
+    return not spark.read.text(path).filter(F.instr("value", '"') > 0).filter(closed.rlike(rf'(?:^|{d}|^\uFEFF)"')).isEmpty()
+
+
 def numbered(df: DataFrame, column: str = "row_index") -> DataFrame:
     """Adds the rows' numbers from 0 in the order of the file: one count for each part of it, no shuffle of rows."""
     marked = df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id(), "_start": F.input_file_block_start()})
@@ -87,12 +100,20 @@ def numbered(df: DataFrame, column: str = "row_index") -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> Sheet:
-    """A delimited file with a header as one sheet: text columns, texts for nothing as null, blank lines left out."""
+    """A delimited file with a header as one sheet: text columns, texts for nothing as null, blank lines left out.
+
+    Quoted cells may hold line feeds; a file that has such cells is read by one task, all others in parts.
+    """
     check_name(path)
     prefix = _prefix(spark, path)
     kind = _whole_charset(spark, path, prefix)
-    first = prefix.decode("utf-8-sig" if kind == "UTF-8" else "cp949", "replace").lstrip("\r\n").split("\n", 1)[0]
-    rows = spark.read.csv(path, header=True, inferSchema=False, encoding=kind, sep=delimiter(first), multiLine=False, quote='"', escape='"')
+    first = prefix.decode("utf-8-sig" if kind == "UTF-8" else "cp949", "replace").lstrip("\r\n")
+    sep = delimiter(header_record(first))
+    broken = _broken_cells(spark, path, sep)
+    rows = spark.read.csv(path, header=True, inferSchema=False, encoding=kind, sep=sep, multiLine=broken, quote='"', escape='"')
+    if broken and len(rows.columns) > 1:  # lines of blanks, which reading by parts leaves out
+        head, *others = [F.col(f"`{c}`") for c in rows.columns]
+        rows = rows.filter(head.isNull() | (F.trim(head) != "") | F.coalesce(*others, F.lit(None).cast("string")).isNotNull())
     clean = rows.select(*[F.when(~F.col(f"`{c}`").isin(*NA_TEXTS), F.col(f"`{c}`")).alias(c) for c in rows.columns])
     return Sheet("Sheet1", numbered(clean))
 

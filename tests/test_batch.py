@@ -104,6 +104,19 @@ def test_csv_charset_is_that_of_the_whole_file(spark, tmp_path):
         read_csv(spark, f"{tmp_path}/none.csv")
 
 
+def test_csv_cells_with_line_feeds(spark, tmp_path):
+    body = 'patient_id,medication,note\nP1,"Risperdal 2mg BID\nAbilify 15mg QD","said ""yes"",\nthen no"\n\n   \nP2,Abilify 5mg QD,5" x\n'
+    want = [("P1", "Risperdal 2mg BID\nAbilify 15mg QD", 'said "yes",\nthen no', 0), ("P2", "Abilify 5mg QD", '5" x', 1)]
+    for name, data in (("u.csv", body.encode("utf-8-sig")), ("r.csv", body.replace("\n", "\r\n").encode()), ("k.csv", body.replace("said", "말").encode("cp949"))):
+        (tmp_path / name).write_bytes(data)
+        got = read_csv(spark, f"{tmp_path}/{name}").rows
+        assert got.columns == ["patient_id", "medication", "note", "row_index"]
+        assert [tuple(x.replace("말", "said") if isinstance(x, str) else x for x in r) for r in got.orderBy("row_index").collect()] == want
+    (tmp_path / "h.csv").write_bytes('"patient\nid, own";"medication"\nP1;"a, ""b"""\n'.encode())
+    got = read_csv(spark, f"{tmp_path}/h.csv").rows
+    assert got.columns == ["patient\nid, own", "medication", "row_index"] and [tuple(r) for r in got.collect()] == [("P1", 'a, "b"', 0)]
+
+
 def test_workbooks(spark, tmp_path):
     save(spark, workbook([("입력", sample(spark))]), f"file://{tmp_path}/s.xlsx")
     got = read_xlsx(spark, f"{tmp_path}/s.xlsx")
