@@ -33,9 +33,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies; rows with a null id stay."""
-    copies = written(near_components(docs, words=NEAR_WORDS, threshold=NEAR_THRESHOLD).filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(small(copies, copies.count(), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    """One document, that of the smallest id, of each group of near copies; rows with a null id stay.
+
+    Where ids are repeated, rows are told apart by id and text: of texts with one id that of the smallest hash counts as
+    the first, and of rows equal in both one stays. Texts without words are nobody's copies and stay.
+    """
+    repeated = not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    place = F.struct("doc_id", F.xxhash64("text").alias("key")) if repeated else F.col("doc_id")
+    placed = docs.withColumn("_place", F.when(F.col("doc_id").isNotNull(), place))
+    found = near_components(placed, "_place", words=NEAR_WORDS, threshold=NEAR_THRESHOLD)
+    copies = written(found.filter("_place <> component_id").select("_place").distinct(), "copies")
+    kept = placed.join(small(copies, copies.count(), BROADCAST_IDS), "_place", "left_anti")
+    if repeated:
+        single = F.col("_place").isNotNull() & F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
+        kept = kept.filter(single).dropDuplicates(["_place"]).union(kept.filter(~single))
+    return kept.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,13 @@ def test_near_dedup_takes_five_words_and_four_fifths(spark):
     rows = [(1, changed()), (2, changed(25)), (3, other), (4, other.replace("x12 ", "p ").replace("x30 ", "q "))]
     docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], FIELDS)
     assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()) == [1, 3, 4]
+
+
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(1, text("a")), (1, text("a")), (2, text("b")), (2, text("a") + " more"), (3, text("b")), (4, text("c")), (None, text("c")), (None, text("c")), (5, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in rows], FIELDS)
+    out = pipeline.near_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(1, text("a")), (2, text("b")), (4, text("c")), (None, text("c")), (None, text("c")), (5, None), (5, None)]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
