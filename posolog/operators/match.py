@@ -48,17 +48,23 @@ def compact_query(normal: Column) -> Column:
     return compact(drug_only(normal))
 
 
-def common_subsequence(query: Column, other: Column) -> Column:
-    """Length of the longest common subsequence of two arrays of signs."""
-    places = F.sequence(F.lit(1), F.size(other))
+def common_subsequence(signs: Column, places: Column, size: Column) -> Column:
+    """Length of the longest common subsequence of an array of signs and a word of up to 62 signs.
+
+    places maps each of the word's signs to the bits of its places. The state has a bit for each place, and a step
+    clears those at which a common subsequence ends that is longer by one (Crochemore et al. 2001).
+    """
+    every = F.call_function("shiftleft", F.lit(1).cast("long"), size) - 1
+
+    def step(state: Column, sign: Column) -> Column:
+        met = state.bitwiseAND(F.coalesce(F.try_element_at(places, sign), F.lit(0).cast("long")))
+        return (state + met).bitwiseOR(state - met).bitwiseAND(every)
+
+    return size - F.bit_count(F.aggregate(signs, every, step))
 
-    def row(before: Column, sign: Column) -> Column:
-        return F.aggregate(
-            places, F.array(F.lit(0)),
-            lambda done, j: F.concat(done, F.array(F.when(F.get(other, j - 1) == sign, F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.get(done, j - 1))))),
-        )
 
-    return F.element_at(F.aggregate(query, F.array_repeat(F.lit(0), F.size(other) + 1), row), -1)
+def _places(word: str) -> dict[str, int]:
+    return {c: sum(1 << k for k, x in enumerate(word) if x == c) for c in word}
 
 
 def alias_nearest(query: Column) -> Column:
@@ -67,11 +73,17 @@ def alias_nearest(query: Column) -> Column:
     The score is 200 * common subsequence / both lengths. One expression runs over the array of aliases; those whose
     length alone rules THRESHOLD out are left out before.
     """
-    aliases = F.array(*[F.struct(F.array(*[F.lit(c) for c in a]).alias("signs"), F.lit(-k).alias("rank"), F.lit(n).alias("drug")) for k, a, n in _ROWS if len(a) >= NEAREST_LENGTH])
+    aliases = F.array(
+        *[
+            F.struct(F.lit(len(a)).alias("size"), F.create_map(*[F.lit(c) if k == 0 else F.lit(c).cast("long") for kv in _places(a).items() for k, c in enumerate(kv)]).alias("places"), F.lit(-k).alias("rank"), F.lit(n).alias("drug"))
+            for k, a, n in _ROWS
+            if len(a) >= NEAREST_LENGTH
+        ]
+    )
     size = F.length(query)
-    near = F.filter(aliases, lambda a: (size > 0) & (200.0 * F.least(size, F.size(a["signs"])) >= THRESHOLD * (size + F.size(a["signs"]))))
+    near = F.filter(aliases, lambda a: (size > 0) & (200.0 * F.least(size, a["size"]) >= THRESHOLD * (size + a["size"])))
     signs = F.filter(F.split(query, ""), lambda c: c != "")
-    scored = F.transform(near, lambda a: F.struct((200.0 * common_subsequence(signs, a["signs"]) / (size + F.size(a["signs"]))).alias("score"), a["rank"].alias("rank"), a["drug"].alias("drug")))
+    scored = F.transform(near, lambda a: F.struct((200.0 * common_subsequence(signs, a["places"], a["size"]) / (size + a["size"])).alias("score"), a["rank"].alias("rank"), a["drug"].alias("drug")))
     return F.array_max(F.filter(scored, lambda s: s["score"] >= THRESHOLD))
 
 
@@ -84,7 +96,7 @@ def match_drugs(df: DataFrame, text_col: str = "original") -> DataFrame:
     known = known.withColumn("_drug", alias_exact(F.col("_normal"))).withColumn("_query", F.when(F.col("_drug").isNull(), compact_query(F.col("_normal"))))
     known = known.withColumn("_drug", F.coalesce("_drug", alias_compact(F.col("_query"))))
     open_ = known.filter("_drug IS NULL AND _query <> ''").select(F.col("_query").alias("_asked")).distinct()
-    near = open_.withColumn("_near", alias_nearest(F.col("_asked"))).filter("_near IS NOT NULL")
+    near = open_.withColumn("_near", alias_nearest(F.col("_asked")))  # no filter on _near: it would be worked out below distinct()
     joined = known.join(near, F.col("_drug").isNull() & (F.col("_query") == F.col("_asked")), "left")
     return joined.withColumns(
         {

@@ -189,3 +189,12 @@ def test_nearest_alias(spark, edits):
 def test_plans(spark):
     plan = convert_all(parse_rx(frame(spark, ["a 1mg QD"])))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|ArrowEval|CartesianProduct|BroadcastNestedLoop", plan) and "BroadcastHashJoin" in plan
+
+
+def test_nearest_names_are_of_distinct_texts(spark):
+    """The measure stands above the distinct names, in no scan, filter or join condition below."""
+    plan = M.match_drugs(frame(spark, ["seroqual 1mg", "x"]), "medication")._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line for line in plan.splitlines() if "bit_count" in line]
+    assert len(lines) == 1
+    at = plan.splitlines().index(lines[0])
+    assert "Aggregate" in plan.splitlines()[at + 1]
