@@ -3,34 +3,72 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOWER_FROM, LOWER_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Rows of texts that go to a Python worker at once, where the session leaves Spark's default.
-BATCH_ROWS = 1000
+#: Bytes of texts that a Python worker takes up at once, whatever the session's batches are.
+PIECE_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of sf_dir. Batches for Python are made smaller than Spark's default: rows hold whole texts."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(setting) == "10000":
-        spark.conf.set(setting, str(BATCH_ROWS))
+    """A table of sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, in parts of up to `limit` bytes of a text or binary column, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < len(ends):
+            end = max(begin + 1, int(np.searchsorted(ends, limit + (ends[begin - 1] if begin else 0), "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def raw_texts(column: pa.Array) -> list[bytes | None]:
+    """A text column's values as UTF-8."""
+    return column.cast(pa.binary()).to_pylist()
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, which gives back to the machine what memory it has freed at its end: workers stay for the next stage."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="posolog-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)

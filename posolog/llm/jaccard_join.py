@@ -1,9 +1,10 @@
 """N-gram Jaccard join with prefix filters under several global token orders.
 
-Sets of equal shingles are one node. Two sets with Jaccard >= t share a token among the first n - ceil(t n) + 1 of each
-set under any global order of tokens. All put tokens of many documents last; order 1 gives the candidates, orders 2 and 3
-are independent and their filters are intersected before a pair's sets are compared. There the prefixes hold k - 1
-tokens more, of which linked sets share k at least.
+Sets of equal shingles are one node. Under any global order, two sets with Jaccard >= t share k of the first p + k - 1
+tokens of one of them, p = n - ceil(t n) + 1. Order 1 is a hash; its prefixes (k = p) are indexed, tokens that no other
+prefix has go, and a set with fewer than k tokens left has no partner. Within what is left of a prefix, order 2 is by
+counts, rarest first: again linked sets share a token of the first ones, and these name the candidates. Orders 3 and 4
+are hashes again, and their filters are intersected before a pair's sets are compared.
 
 A bucket of few documents gives its pairs. Large ones that overlap are one family and don't: with K the tokens that most
 of its members have, two members z and y differ by at most |z^K| + |y^K| tokens, so the member nearest to K is linked to
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from posolog.llm.common import small, written
+from posolog.llm.common import pieces, raw_texts, released, small, written
 from posolog.llm.components import connected
 
 SHINGLE_WORDS = 4
@@ -30,14 +31,10 @@ THRESHOLD = (85, 100)
 PAIRED = 32
 #: Members that name the core of a large bucket.
 CORE_SETS = 9
-#: Tokens in more than this share of the documents rank by their count; there are at most (mean set size / share).
-HOT_SHARE = 0.0001
-#: Broadcast ids of documents only up to so many; more are joined by a shuffle.
+#: Broadcast ids of documents, or pairs of them, only up to so many; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Broadcast the cores of large buckets only up to so many tokens in all.
 BROADCAST_TOKENS = 4_000_000
-#: Shingles that one block of the hot-token count holds.
-BLOCK_TOKENS = 1 << 21
 
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(30), np.uint64(0xBF58476D1CE4E5B9), np.uint64(27), np.uint64(0x94D049BB133111EB), np.uint64(31))
@@ -72,6 +69,11 @@ def prefix_length(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
     return n - -(-num * n // den) + 1
 
 
+def shared_least(p: int, n: int) -> int:
+    """k of a set of n tokens: of its first p + k - 1 ones under order 1 a linked set no smaller shares k at least."""
+    return min(p, n - p + 1)
+
+
 def filter_prefix(tokens: np.ndarray, p: int) -> np.ndarray:
     """A filter's prefix as distinct 32-bit values behind the number of them that a linked set shares at least.
 
@@ -81,108 +83,86 @@ def filter_prefix(tokens: np.ndarray, p: int) -> np.ndarray:
     return np.r_[np.int32(max(1, p // 2 + 1 - (len(tokens) - len(short)))), short.view(np.int32)]
 
 
-class Orders:
-    """Global orders of tokens: by a seeded hash, then hot tokens by their counts."""
-
-    def __init__(self, hot: np.ndarray, counts: np.ndarray):
-        self.hot, self.counts = hot, np.minimum(counts, (1 << 20) - 1).astype(np.uint64) << np.uint64(44)
-        #: Whether any hot token begins with these 20 bits.
-        self.may = np.zeros(1 << 20, bool)
-        self.may[hot >> np.uint64(44)] = True
-
-    def heat(self, tokens: np.ndarray) -> np.ndarray:
-        """The upper bits of the tokens' ranks: the counts of hot ones."""
-        out = np.zeros(len(tokens), np.uint64)
-        some = np.flatnonzero(self.may[tokens >> np.uint64(44)])
-        if len(some):
-            at = np.minimum(np.searchsorted(self.hot, tokens[some]), len(self.hot) - 1)
-            out[some] = np.where(self.hot[at] == tokens[some], self.counts[at], np.uint64(0))
-        return out
-
-    def first(self, tokens: np.ndarray, heat: np.ndarray, seed: int, p: int) -> np.ndarray:
-        """The p tokens of the lowest ranks, in no order unless they are all."""
-        rank = heat | _mixed(tokens ^ np.uint64(seed)) >> np.uint64(20)
-        return tokens[np.argpartition(rank, p - 1)[:p]] if 0 < p < len(tokens) else tokens[np.argsort(rank)]
-
-
-def _raw(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.binary()).to_pylist()
+def first(tokens: np.ndarray, seed: int, size: int) -> np.ndarray:
+    """The tokens of the lowest ranks under a seeded hash, in no order unless they are all."""
+    rank = _mixed(tokens ^ np.uint64(seed))
+    return tokens[np.argpartition(rank, size - 1)[:size]] if 0 < size < len(tokens) else tokens[np.argsort(rank)]
 
 
-def _hot_tokens(texts: DataFrame, words: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens (sorted) and counts of all that stand in 2 * share of the documents or more.
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], kind))
 
-    Every block of documents names the tokens of `share` of its own documents; a token with twice that share of all
-    keeps at least half its count. At most mean set size / share tokens pass, however many documents there are.
-    """
 
-    def block(parts: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
-        often = counts >= max(2, share * len(parts))
-        return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            for raw in _raw(batch.column(0)):
-                parts.append(shingle_set(raw, words))
-                held += len(parts[-1])
-                if held >= BLOCK_TOKENS:
-                    yield block(parts)
-                    parts, held = [], 0
-        if parts:
-            yield block(parts)
-
-    found = texts.mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    kept = found.filter(F.col("n") >= max(2.0, share * texts.count())).toArrow()
-    tokens = kept["token"].to_numpy().view(np.uint64)
-    by = np.argsort(tokens)
-    return tokens[by], kept["n"].to_numpy()[by]
-
-
-def _sketches(docs: DataFrame, hot, words: int, threshold: tuple[int, int]) -> DataFrame:
-    """Rows (_id, n, f1, f2, p1, p2, p3): set size, fingerprint, prefix under order 1, filters of orders 2 and 3."""
+def _sketches(docs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """Rows (_id, n, f1, f2, p1): set size, fingerprint, and the prefix under order 1."""
 
+    @released
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = Orders(*hot.value)
-        for batch in batches:
-            ids, n, f1, f2, prefixes = batch.column(0), [], [], [], ([], [], [])
-            for raw in _raw(batch.column(1)):
+        for batch in pieces(batches, 1):
+            n, f1, f2, prefixes = [], [], [], []
+            for raw in raw_texts(batch.column(1)):
                 tokens = shingle_set(raw, words)
                 p = prefix_length(len(tokens), threshold) if len(tokens) else 0
                 n.append(len(tokens))
                 h = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 f1.append((h & (2**64 - 1)) - 2**63)
                 f2.append((h >> 64) - 2**63)
-                heat = orders.heat(tokens)
-                prefixes[0].append(orders.first(tokens, heat, 1, p).view(np.int64))
-                for k in (1, 2):
-                    prefixes[k].append(filter_prefix(orders.first(tokens, heat, k + 1, p + p // 2), p))
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else [], kind)) for x, kind in zip(prefixes, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), *lists], ["_id", "n", "f1", "f2", "p1", "p2", "p3"])
+                prefixes.append(first(tokens, 1, p + shared_least(p, len(tokens)) - 1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _lists(prefixes, pa.int64())], ["_id", "n", "f1", "f2", "p1"])
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.select("_id", "_text").mapInArrow(sketch, f"_id {kind}, n int, f1 bigint, f2 bigint, p1 array<bigint>, p2 array<int>, p3 array<int>")
+    return docs.select("_id", "_text").mapInArrow(sketch, f"_id {kind}, n int, f1 bigint, f2 bigint, p1 array<bigint>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, hot, words: int) -> DataFrame:
-    """Rows (v, n, s): the tokens of the nodes' sets under order 1, taken from the texts again."""
+def _sets(docs: DataFrame, nodes: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """Rows (v, n, s, p3, p4): the tokens of the nodes' sets, taken from the texts again, and the filters of orders 3 and 4."""
 
+    @released
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = Orders(*hot.value)
-        for batch in batches:
-            ids, sets = [], []
-            for v, f1, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _raw(batch.column(2)), strict=True):
+        for batch in pieces(batches, 2):
+            ids, sets, filters = [], [], ([], [])
+            for v, f1, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
                 tokens = shingle_set(raw, words)
                 if (xxhash.xxh3_128_intdigest(tokens.tobytes()) & (2**64 - 1)) - 2**63 == f1:
+                    p = prefix_length(len(tokens), threshold)
                     ids.append(v)
-                    sets.append(orders.first(tokens, orders.heat(tokens), 1, len(tokens)).view(np.int64))
-            offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else [], pa.int64()))], ["v", "n", "s"])
+                    sets.append(first(tokens, 1, len(tokens)).view(np.int64))
+                    for k, out in enumerate(filters, start=3):
+                        out.append(filter_prefix(first(tokens, k, p + p // 2), p))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array([len(s) for s in sets], pa.int32()), _lists(sets, pa.int64()), *(_lists(f, pa.int32()) for f in filters)], ["v", "n", "s", "p3", "p4"])
 
     kind = docs.schema["_id"].dataType.simpleString()
     texts = docs.join(nodes, docs["_id"] == nodes["v"]).select("v", "f1", "_text")
-    return texts.mapInArrow(whole, f"v {kind}, n int, s array<bigint>")
+    return texts.mapInArrow(whole, f"v {kind}, n int, s array<bigint>, p3 array<int>, p4 array<int>")
+
+
+def _least_of_partners(n: Column, threshold: tuple[int, int]) -> Column:
+    """shared_least() of the smallest set that one of n tokens can link to."""
+    num, den = threshold
+    part = lambda x: F.ceil(x * num / den).cast("int")
+    small_one = part(n)
+    p = small_one - part(small_one) + 1
+    return F.least(p, small_one - p + 1)
+
+
+def _rarest(sketches: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Rows (g, v, n): the tokens that name candidates, of the nodes that may have a partner.
+
+    Tokens are counted before they are shuffled, and one that a great part of all sets has is dealt out by the join.
+    """
+    n_nodes = nodes.count()
+    named = small(nodes.select(F.col("v").alias("_id"), "f1"), n_nodes, BROADCAST_IDS)
+    own = sketches.select("_id", "f1", "p1").join(named, ["_id", "f1"], "left_semi")
+    if own.count() > n_nodes:  # rows that are equal in id and text
+        own = own.dropDuplicates(["_id", "f1"])
+    tokens = own.select(F.explode("p1").alias("g"), F.col("_id").alias("v"))
+    often = tokens.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = written(tokens.join(often.hint("shuffle_hash"), "g"), "shared")
+    least = _least_of_partners(F.col("n"), threshold)
+    kept = shared.groupBy("v").agg(F.count("*").cast("int").alias("s")).join(small(nodes.select("v", "n"), n_nodes, BROADCAST_IDS), "v").filter(F.col("s") >= least)
+    kept = written(kept.select("v", "n", (F.col("s") - least + 1).alias("size")), "kept")
+    ranked = shared.join(small(kept, kept.count(), BROADCAST_IDS), "v").withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("c", "g")))
+    return written(ranked.filter("at <= size").select("g", "v", "n"), "rarest")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -206,18 +186,6 @@ def _pairs(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return met.filter(fits).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
 
 
-def _pass_orders(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Of the pairs those that share enough prefix tokens under orders 2 and 3 too."""
-    pairs = written(pairs, "candidates")
-    named = _named(pairs)
-    prefixes = sketches.join(named, sketches["_id"] == named["v"]).select("v", "p2", "p3")
-    side = lambda c: prefixes.select(F.col("v").alias(c), F.col("p2").alias(f"{c}2"), F.col("p3").alias(f"{c}3"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    rest = lambda c: F.slice(c, F.lit(2), F.size(c))
-    shares = lambda k: F.size(F.array_intersect(rest(f"a{k}"), rest(f"b{k}"))) >= F.least(F.get(f"a{k}", F.lit(0)), F.get(f"b{k}", F.lit(0)))
-    return both.filter(shares(2) & shares(3)).select("a", "b")
-
-
 def _named(*tables: DataFrame) -> DataFrame:
     """The distinct ids (v) in all columns a, b and v of the tables, broadcast if their count allows."""
     ids = None
@@ -228,13 +196,41 @@ def _named(*tables: DataFrame) -> DataFrame:
     return small(ids, ids.count(), BROADCAST_IDS)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _met(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The pairs (a, b) with columns of both sets, named a_ and b_."""
+    held = sets.join(_named(pairs), "v", "left_semi")
+    side = lambda c: held.select(F.col("v").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in columns])
+    return side("a").join(small(pairs, pairs.count(), BROADCAST_IDS), "a").join(side("b"), "b")
+
+
+def _pass_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs those that share enough prefix tokens under orders 3 and 4 too."""
+    rest = lambda c: F.slice(c, F.lit(2), F.size(c))
+    shares = lambda k: F.size(F.array_intersect(rest(f"a_p{k}"), rest(f"b_p{k}"))) >= F.least(F.get(f"a_p{k}", F.lit(0)), F.get(f"b_p{k}", F.lit(0)))
+    return _met(pairs, sets, ("p3", "p4")).filter(shares(3) & shares(4)).select("a", "b")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Of the pairs those whose sets link."""
     num, den = threshold
-    pairs = written(pairs, "filtered")
-    sets = sets.join(_named(pairs), "v", "left_semi")
-    side = lambda c: sets.select(F.col("v").alias(c), F.col("n").alias(f"{c}n"), F.col("s").alias(f"{c}s"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("as", "bs")))
-    return met.filter(den * F.col("i") >= num * (F.col("an") + F.col("bn") - F.col("i"))).select("a", "b")
+    met = _met(pairs, sets, ("n", "s")).withColumn("i", F.size(F.array_intersect("a_s", "b_s")))
+    return met.filter(den * F.col("i") >= num * (F.col("a_n") + F.col("b_n") - F.col("i"))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> list[DataFrame]:
+    """Links among the pairs that have the closure of all of them.
+
+    The filters come first. Each set is compared with the first of its candidates, and the links found so far put sets
+    under one label; pairs within a label are linked already, and all others are compared.
+    """
+    pairs = written(_pass_orders(pairs, sets), "filtered")
+    star = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
+    links = written(_compared(star, sets, threshold), "links")
+    n_links = links.count()
+    label = lambda c: small(links.select(F.col("b").alias(c), F.col("a").alias(f"{c}_label")), n_links, BROADCAST_IDS)
+    apart = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+    rest = written(apart.join(small(star, star.count(), BROADCAST_IDS), ["a", "b"], "left_anti"), "rest")
+    return [links, written(_compared(rest, sets, threshold), "links")]
 
 
 def _core(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -252,7 +248,8 @@ def _split(rows: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> tupl
 
     With d = |v^K| and u = d - (1 - t) / (1 + t) n, two members are linked if their u sum to 0 or less, and if linked
     otherwise share at least half that sum of the tokens of z^K and y^K. Prefixes under one order, tokens outside K
-    first, are as long as that asks. Members that the centre (of the least u) is linked to need only meet the others.
+    first, are as long as that asks. Members that the centre (of the least u) is linked to need only meet the others, of
+    which the nearest has the least u.
     """
     num, den = threshold
     rows = rows.select("g", "v")
@@ -265,32 +262,32 @@ def _split(rows: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> tupl
         .withColumn("d", F.slice("d", F.lit(1), F.floor(F.col("n") * (den - num) / num).cast("int") + 1))
     )
     apart = written(apart, "apart")
-    centres = apart.groupBy("g").agg(F.min(F.struct("u", "v")).alias("m"), F.max("u").alias("worst"))
+    centres = apart.groupBy("g").agg(F.min(F.struct("u", "v")).alias("m"))
     placed = apart.join(centres, "g").withColumn("linked", F.col("u") + F.col("m.u") <= 0)
     proven = placed.filter(F.col("linked") & (F.col("v") != F.col("m.v"))).select(F.col("m.v").alias("a"), F.col("v").alias("b"))
-    shared = F.greatest(F.lit(1), F.ceil(F.when(F.col("linked"), F.col("u") - F.col("m.u")).otherwise(F.col("u") + F.col("m.u")) / (2 * (den + num))))
+    outer = placed.filter(~F.col("linked")).groupBy("g").agg(F.min("u").alias("outer"))
+    nearest = F.when(F.col("linked"), F.col("outer")).otherwise(F.col("m.u"))
+    shared = F.greatest(F.lit(1), F.ceil((F.col("u") + nearest) / (2 * (den + num))))
     keys = F.slice("d", F.lit(1), F.greatest(F.lit(0), F.col("size") - shared + 1).cast("int"))
-    following = placed.filter(F.col("worst") + F.col("m.u") > 0).select("v", "n", "g", F.explode(keys).alias("t")).select(F.xxhash64("g", "t").alias("g"), "v", "n")
+    following = placed.join(outer, "g").select("v", "n", "g", F.explode(keys).alias("t")).select(F.xxhash64("g", "t").alias("g"), "v", "n")
     return proven, following
 
 
-def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, hot, words: int, threshold: tuple[int, int]) -> DataFrame:
-    """Edges (a, b) between nodes whose closure is that of all links with Jaccard >= threshold."""
-    tokens = sketches.select(F.explode("p1").alias("g"), F.col("_id").alias("v"), "n")
-    shared = written(_shared(tokens), "shared").join(nodes.select("v"), "v", "left_semi").distinct()
-    rows = written(_counted(written(shared, "shared")), "buckets")
-    pairs = written(_pass_orders(_pairs(rows, threshold), sketches), "filtered")
+def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """Edges (a, b) between nodes (v, f1, n) whose closure is that of all links with Jaccard >= threshold."""
+    rows = written(_counted(_rarest(sketches, nodes, threshold)), "buckets")
+    pairs = written(_pairs(rows, threshold), "candidates")
     leads = rows.filter(F.col("members") > PAIRED).groupBy("g").agg(F.min("v").alias("lead"))
     large = rows.join(leads, "g").select("lead", "v", "n")
     families = connected(large.select(F.col("lead").alias("a"), F.col("v").alias("b")))
     large = written(large.select("v", "n").distinct().join(families.select("v", F.col("component").alias("g")), "v"), "large")
-    wanted = written(_named(pairs, large).join(nodes, "v"), "wanted")
-    sets = written(_sets(docs, small(wanted, wanted.count(), BROADCAST_IDS), hot, words), "sets")
-    edges = [written(_verified(pairs, sets, threshold), "links")]
+    wanted = written(_named(pairs, large).join(nodes.select("v", "f1"), "v"), "wanted")
+    sets = written(_sets(docs, small(wanted, wanted.count(), BROADCAST_IDS), words, threshold), "sets")
+    edges = _verified(pairs, sets, threshold)
     while not large.isEmpty():
         proven, following = _split(large, sets, threshold)
         rows = written(_counted(written(_shared(following).distinct(), "shared")), "buckets")
-        edges += [proven, written(_verified(_pass_orders(_pairs(rows, threshold), sketches), sets, threshold), "links")]
+        edges += [proven, *_verified(written(_pairs(rows, threshold), "candidates"), sets, threshold)]
         large = written(rows.filter(F.col("members") > PAIRED).select("g", "v", "n").distinct(), "large")
     out = edges[0]
     for more in edges[1:]:
@@ -308,11 +305,9 @@ def near_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     ids links with nothing. Rows that share an id with other texts are judged by their own text. Other columns are
     not used.
     """
-    spark = documents.sparkSession
     docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    hot = spark.sparkContext.broadcast(_hot_tokens(docs.select("_text"), words, HOT_SHARE))
-    sketches = written(_sketches(docs, hot, words, threshold), "sketches")
-    groups = written(sketches.filter("n > 0").groupBy("f1", "f2").agg(F.min("_id").alias("v")), "groups")
-    found = written(connected(links(docs, sketches, groups.filter("v IS NOT NULL").select("v", "f1"), hot, words, threshold)), "components")
+    sketches = written(_sketches(docs, words, threshold), "sketches")
+    groups = written(sketches.filter("n > 0").groupBy("f1", "f2").agg(F.min("_id").alias("v"), F.first("n").alias("n")), "groups")
+    found = written(connected(links(docs, sketches, groups.filter("v IS NOT NULL").select("v", "f1", "n"), words, threshold)), "components")
     named = groups.join(found, "v", "left").select("f1", "f2", F.coalesce("component", "v").alias("component_id"))
     return sketches.select("_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left").select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
