@@ -10,7 +10,7 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +46,22 @@ def raw_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """work, which gives back to the machine what memory it has freed at its end: workers stay for the next stage."""
+#: What a worker keeps from one task to the next, by the operator that owns it: a function that lets go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def released(work: Work, owner: str = "") -> Work:
+    """work, which gives back to the machine what memory it has freed at its end: workers stay for the next stage.
+
+    At its begin a worker lets go of what other operators have kept in it.
+    """
 
     @functools.wraps(work)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in [k for k in KEPT if k != owner]:
+            KEPT.pop(other)()
         try:
             yield from work(batches)
         finally:
@@ -62,6 +73,51 @@ def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     return run
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever signs are in it."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def shape(fields: list[tuple[str, str]]) -> str:
+    """A schema of (name, type)."""
+    return ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in fields)
+
+
+def mapped(df: DataFrame, source: str, made: list[tuple[str, str]], work: Callable[[pa.Array], list[pa.Array]], limit: int = PIECE_BYTES, owner: str = "") -> DataFrame:
+    """df with further columns `made` (name, type), which work() makes of pieces of the text or binary column `source`.
+
+    Columns of the made names are replaced; all others stay, whatever their names. The source goes to Python once.
+    """
+    names = {name.lower() for name, _ in made}
+    kept = [f for f in df.schema.fields if f.name.lower() not in names]
+    plain = df.schema[source].dataType.simpleString() in ("string", "binary")
+    own = [quoted(f.name) for f in kept]
+    if plain and source in [f.name for f in kept]:
+        at = [f.name for f in kept].index(source)
+    else:
+        at = len(kept)
+        own.append((quoted(source) if plain else quoted(source).cast("string")).alias(unused(df, "source")[0]))
+    out = [f.name for f in kept] + [name for name, _ in made]
+
+    @functools.partial(released, owner=owner)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, at, limit):
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *work(batch.column(at))], out)
+
+    return df.select(*own).mapInArrow(run, shape([*((f.name, f.dataType.simpleString()) for f in kept), *made]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one."""
     sc = spark.sparkContext
@@ -84,6 +140,23 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def shipped(spark: SparkSession, name: str, data: Iterable[bytes]) -> str:
+    """Puts a file into the shared folder, unless it is there, and has every executor fetch it; returns its name, which
+    is to tell its contents. SparkFiles.get(name) is where an executor has it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/posolog/{name}")
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        part = where.suffix(f".{uuid.uuid4().hex}")
+        stream = store.create(part, True)
+        for chunk in data:
+            stream.write(bytearray(chunk))
+        stream.close()
+        store.rename(part, where)
+    spark.sparkContext.addFile(where.toString())
+    return name
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors, gives the planner true sizes."""
     spark = df.sparkSession
@@ -113,6 +186,6 @@ def ascii_words(text: Column) -> Column:
     return F.array_remove(F.split(flat, " "), "")
 
 
-def row_key(*columns: Column) -> list[Column]:
-    """Two 64-bit hashes of the columns: 128 bits that stand for the values."""
-    return [F.xxhash64(*columns), F.xxhash64(F.lit(0x5EED), *columns)]
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from posolog.llm.common import mapped, pieces, quoted, raw_texts, released, shape
 
 FRAME = 576
 RATE = 8000
@@ -237,60 +240,85 @@ def features(parsed: Parsed, payload: bytes) -> str:
     return f"frames={len(parsed.packets)};clusters={len(parsed.cues)};ms={end:.0f};mean={total / n:.4f};deviation={max(0.0, squares / n - (total / n) ** 2) ** 0.5:.4f};crossings={crossings}"
 
 
-def _shape(fields, more: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), more])
+def padded(raw: bytes | None) -> bytes:
+    """A text's bytes with 255 appended up to a positive multiple of FRAME; null counts as empty."""
+    raw = raw or b""
+    return raw + PAD * (max(FRAME, -(-len(raw) // FRAME) * FRAME) - len(raw))
+
+
+def payload_of(data: bytes, packets: list[Packet]) -> bytes:
+    return b"".join([data[p.offset : p.offset + p.size] for p in packets])
+
+
+def _parsed(data: bytes | None) -> Parsed | None:
+    """parse(), None for no file and for a broken one."""
+    try:
+        return None if data is None else parse(data)
+    except (ValueError, IndexError, KeyError, struct.error):
+        return None
 
 
 def to_media(df: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """Adds media_col: the text's UTF-8 bytes, padded with 255 to a positive multiple of FRAME, as a file.
 
-    A null text is an empty one; an empty one is a frame of padding. Equal texts give equal files whatever else is in
-    the row. Other columns stay; one named media_col is replaced.
+    A null text is an empty one; an empty one is a frame of padding. A text of any length is one file, held in memory by
+    itself. Equal texts, repeated rows among them, give equal files whatever else is in the row; an empty table gives an
+    empty one. Other columns stay, whatever their names; one named media_col is replaced.
     """
-    kept = df.drop(media_col)
+    return mapped(df, text_col, [(media_col, "binary")], lambda texts: [pa.array([pack(padded(raw)) for raw in raw_texts(texts)], pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            media = [pack(raw + PAD * (max(FRAME, -(-len(raw) // FRAME) * FRAME) - len(raw))) for raw in (x or b"" for x in batch.column(batch.num_columns - 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(media, pa.binary())], [*batch.schema.names[:-1], media_col])
 
-    return kept.withColumn("_raw_", F.col(text_col).cast("string").cast("binary")).mapInArrow(run, _shape(kept.schema.fields, f"`{media_col}` binary"))
+def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
+    """Adds payload (all frames in order) and feature, both null where the file is null or broken.
 
+    Other columns stay, whatever their names; columns named payload and feature are replaced.
+    """
 
-def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """Adds payload (all frames in order) and feature, both null where the file is null or broken."""
-    kept = df.drop("payload", "feature")
+    def work(media: pa.Array) -> list[pa.Array]:
+        payloads, lines = [], []
+        for data in media.to_pylist():
+            parsed = _parsed(data)
+            payloads.append(None if parsed is None else payload_of(data, parsed.packets))
+            lines.append(None if parsed is None else features(parsed, payloads[-1]))
+        return [pa.array(payloads, pa.binary()), pa.array(lines, pa.string())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payloads, lines = [], []
-            for data in batch.column(batch.num_columns - 1).to_pylist():
-                try:
-                    parsed = parse(data) if data is not None else None
-                except (ValueError, IndexError, KeyError, struct.error):
-                    parsed = None
-                payloads.append(None if parsed is None else b"".join([data[p.offset : p.offset + p.size] for p in parsed.packets]))
-                lines.append(None if parsed is None else features(parsed, payloads[-1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(payloads, pa.binary()), pa.array(lines, pa.string())], [*batch.schema.names[:-1], "payload", "feature"])
+    return mapped(df, media_col, [("payload", "binary"), ("feature", "string")], work)
+
+
+#: What round_trip() adds.
+TRIP = [("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string")]
+
+
+def round_trip(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds TRIP: each text is written as to_media() does, the stored bytes are read back as read_media() does, and sizes
+    and digests of both are kept, so that no file leaves the worker. Rows and columns are treated as there."""
+
+    def work(texts: pa.Array) -> list[pa.Array]:
+        rows = []
+        for raw in raw_texts(texts):
+            media = pack(padded(raw))
+            parsed = parse(media)
+            payload = payload_of(media, parsed.packets)
+            rows.append((len(raw or b""), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(parsed, payload)))
+        columns = list(zip(*rows, strict=True)) or [[]] * len(TRIP)
+        return [pa.array(c, pa.int64() if kind == "bigint" else pa.string()) for c, (_, kind) in zip(columns, TRIP, strict=True)]
 
-    return kept.withColumn("_media_", F.col(media_col)).mapInArrow(run, _shape(kept.schema.fields, "payload binary, feature string"))
+    return mapped(df, text_col, TRIP, work)
 
 
 def packet_table(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """Rows (id, packet, track, ms, offset, size, key) for every frame of every file; null or broken files have none."""
+    kinds = (pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.bool_())
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             for k, data in enumerate(batch.column(1).to_pylist()):
-                try:
-                    packets = parse(data).packets if data is not None else []
-                except (ValueError, IndexError, KeyError, struct.error):
-                    packets = []
-                if packets:
-                    columns = list(zip(*packets, strict=True))
-                    ids = pa.array([batch.column(0)[k].as_py()] * len(packets), batch.column(0).type)
-                    kinds = (pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(range(len(packets)), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [id_col, "packet", "track", "ms", "offset", "size", "key"])
+                parsed = _parsed(data)
+                if parsed is not None and parsed.packets:
+                    columns = list(zip(*parsed.packets, strict=True))
+                    ids = pa.array([batch.column(0)[k].as_py()] * len(parsed.packets), batch.column(0).type)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(range(len(parsed.packets)), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [id_col, "packet", "track", "ms", "offset", "size", "key"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, packet int, track int, ms double, offset bigint, size int, key boolean")
+    return df.select(quoted(id_col), quoted(media_col)).mapInArrow(run, f"{shape([(id_col, kind)])}, packet int, track int, ms double, offset bigint, size int, key boolean")

@@ -13,7 +13,7 @@ from posolog.llm.decontaminate import find_matches, judged
 from posolog.llm.jaccard_join import near_components
 from posolog.llm.line_dedup import dedup_lines
 from posolog.llm.lm import score_documents
-from posolog.llm.matroska import read_media, to_media
+from posolog.llm.matroska import round_trip
 from posolog.llm.pii import BASE, find_pii, listed
 from posolog.llm.quality import fit, held_out, score_quality
 from posolog.llm.url_filter import judge_urls
@@ -32,13 +32,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
-    media = to_media(docs).select("doc_id", "n_bytes", "media")
-    stored = media.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
-    return read_media(stored).select(
-        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
-    )
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
