@@ -7,14 +7,17 @@ so a stack of last tokens along the path holds all states, and a prefix that wor
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
+
+from posolog.llm.common import KEPT, mapped, shipped
 
 #: Words whose encodings a worker keeps between blocks, and bytes of text in a block.
 KEPT_WORDS = 300_000
@@ -157,58 +160,48 @@ class Vocabulary:
 _LOADED: dict[str, Vocabulary] = {}
 
 
+def _forget() -> None:
+    """Lets go of the words that this process has encoded."""
+    for own in _LOADED.values():
+        own.kept, own.agree = {}, {}
+
+
 def vocabulary(path: str) -> Vocabulary:
     """The vocabulary at path, read once in a process."""
     if path not in _LOADED:
         with open(path, encoding="utf-8") as f:
             _LOADED[path] = Vocabulary(json.load(f))
+    KEPT["bpe"] = _forget
     return _LOADED[path]
 
 
-def _mapped(df: DataFrame, source: Column, name: str, kind: str, work: Callable[[Iterator[pa.Array]], Iterator[pa.Array]]) -> DataFrame:
-    """df with a column `name` that work() makes of batches of `source`; a column of that name is replaced."""
-    kept = df.drop(name)
-    fields = [*kept.schema.fields]
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` {kind}"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns, names = batch.columns, batch.schema.names
-            out = [x for part in work(columns[-1]) for x in part]
-            made = pa.array(out, pa.binary() if kind == "binary" else pa.string())
-            yield pa.RecordBatch.from_arrays([*columns[:-1], made], [*names[:-1], name])
-
-    return kept.withColumn("_source_", source).mapInArrow(run, shape)
+def _shipped(spark: SparkSession, path: str) -> str:
+    """Has every executor fetch the driver's vocabulary file; returns the name under which they have it."""
+    with open(path, "rb") as f:
+        data = f.read()
+    return shipped(spark, f"vocabulary-{hashlib.sha256(data).hexdigest()[:24]}.json", (data[k : k + (1 << 20)] for k in range(0, len(data), 1 << 20)))
 
 
 def encode(df: DataFrame, text_col: str = "text", path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """Adds ids_col, binary: the text's token ids as little-endian unsigned 32-bit integers.
 
     The ids are those of the tokenizers library without added special tokens; a special token's own string in a text is
-    that token. Null and empty texts have no ids (an empty binary). Every row is encoded by itself, so repeated rows
-    come out alike; other columns stay, one named ids_col is replaced.
+    that token. Null and empty texts have no ids (an empty binary). Texts of any length are encoded whole, each by
+    itself, so repeated rows come out alike; other columns stay, whatever their names, and one named ids_col is replaced.
     """
-    path = path or vocabulary_path()
-
-    def work(column: pa.Array) -> Iterator[list[bytes]]:
-        own, block, held = vocabulary(path), [], 0
-        for text in column.to_pylist():
-            block.append(text or "")
-            held += len(block[-1])
-            if held > BLOCK_BYTES:
-                yield own.encode(block)
-                block, held = [], 0
-        yield own.encode(block)
-
-    return _mapped(df, F.col(text_col), ids_col, "binary", work)
+    name = _shipped(df.sparkSession, path or vocabulary_path())
+    work = lambda texts: [pa.array(vocabulary(SparkFiles.get(name)).encode([t or "" for t in texts.to_pylist()]), pa.binary())]
+    return mapped(df, text_col, [(ids_col, "binary")], work, BLOCK_BYTES, "bpe")
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, text_col: str = "decoded") -> DataFrame:
-    """Adds text_col: the text of the ids in ids_col, special tokens included; null ids give an empty text."""
-    path = path or vocabulary_path()
+    """Adds text_col: the text of the ids in ids_col, special tokens included; null ids give an empty text.
+
+    Other columns stay, whatever their names; one named text_col is replaced."""
+    name = _shipped(df.sparkSession, path or vocabulary_path())
 
-    def work(column: pa.Array) -> Iterator[list[str]]:
-        own = vocabulary(path)
-        yield [own.decode(ids or b"") for ids in column.to_pylist()]
+    def work(ids: pa.Array) -> list[pa.Array]:
+        own = vocabulary(SparkFiles.get(name))
+        return [pa.array([own.decode(x or b"") for x in ids.to_pylist()], pa.string())]
 
-    return _mapped(df, F.col(ids_col), text_col, "string", work)
+    return mapped(df, ids_col, [(text_col, "string")], work, BLOCK_BYTES, "bpe")

@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posolog.llm.common import mapped, pieces, raw_texts, released
+
 #: Labelled documents of each class that the votes come from, at most: the bound of the sample.
 PER_CLASS = 1000
 SHAPES, WORDS = 16**3, 1 << 11
@@ -18,6 +20,8 @@ DIMS = SHAPES + WORDS + 2
 BLOCKS = ((0, SHAPES, 1.0), (SHAPES, SHAPES + WORDS, 0.5), (SHAPES + WORDS, DIMS, 0.7))
 LATENT = 48
 NEIGHBOURS = 15
+#: Decimal places of a cosine: blocks of other shapes round sums otherwise beyond them.
+PLACES = 5
 #: A neighbour's vote counts as its cosine to this power.
 SHARPNESS = 8
 BLOCK_ROWS = 512
@@ -62,15 +66,16 @@ def weighted(places: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndar
 
 
 def _raw(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+    return [x or b"" for x in raw_texts(column)]
 
 
 def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
     """In how many of all documents each dimension is, and how many there are."""
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(DIMS + 1, np.int64)
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for raw in _raw(batch.column(0)):
                 held[features(raw)[0]] += 1
                 held[DIMS] += 1
@@ -101,15 +106,17 @@ class Votes:
         return _unit(out)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """Scores of a block of texts; one without a direction gets the share of label 1."""
+        """Scores of a block of texts; one without a direction gets the share of label 1.
+
+        Cosines are rounded; labelled documents as near as the last of the NEIGHBOURS vote too, in whatever order they are.
+        """
         if not len(self.labels):
             return np.full(len(texts), self.share)
-        near = self.latent([features(t) for t in texts]) @ self.vectors.T
-        k = min(NEIGHBOURS, near.shape[1])
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        votes = np.maximum(np.take_along_axis(near, best, 1), 0).astype(np.float64) ** SHARPNESS
+        near = np.round(self.latent([features(t) for t in texts]) @ self.vectors.T, PLACES)
+        least = np.partition(near, -min(NEIGHBOURS, near.shape[1]), axis=1)[:, -min(NEIGHBOURS, near.shape[1])]
+        votes = np.where(near >= least[:, None], np.maximum(near, 0), 0).astype(np.float64) ** SHARPNESS
         total = votes.sum(1)
-        return np.where(total > 0, (votes * self.labels[best]).sum(1) / np.where(total > 0, total, 1), self.share)
+        return np.where(total > 0, votes @ self.labels / np.where(total > 0, total, 1), self.share)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -142,8 +149,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         some = known.filter(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         drawn = some if drawn is None else drawn.union(some)
 
+    @released
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             found = [features(raw) for raw in _raw(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tolist() for p, _ in found], pa.list_(pa.int32())), pa.array([c.tolist() for _, c in found], pa.list_(pa.float32()))], ["label", "places", "counts"])
 
@@ -163,19 +171,14 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def score_quality(documents: DataFrame, votes: Votes, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Adds score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold, else 0) to every row.
 
-    Null is an empty text; a text without features gets the labels' mean. Equal texts have equal scores up to rounding.
-    Other columns stay; columns of the added names are replaced.
+    Null is an empty text; a text without features gets the labels' mean. Equal texts, of repeated rows too, have equal
+    scores. Other columns stay, whatever their names; columns of the added names are replaced.
     """
     held = documents.sparkSession.sparkContext.broadcast(votes)
-    kept = documents.drop("score", "predicted")
-    shape, at = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "score double"]), kept.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at)
-            scores = [held.value.score(_raw(texts.slice(k, BLOCK_ROWS))) for k in range(0, len(texts), BLOCK_ROWS)]
-            made = pa.array(np.clip(np.concatenate(scores), 0, 1) if scores else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "score"])
+    def work(column: pa.Array) -> list[pa.Array]:
+        scores = [held.value.score(_raw(column.slice(k, BLOCK_ROWS))) for k in range(0, len(column), BLOCK_ROWS)]
+        return [pa.array(np.round(np.clip(np.concatenate(scores), 0, 1), 9), pa.float64())]
 
-    scored = kept.mapInArrow(run, shape)
+    scored = mapped(documents.drop("predicted"), text_col, [("score", "double")], work)
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
