@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posolog.llm.common import let
+
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: kind -> pattern. Possessive repeats never give back what they took: here that changes no match and keeps very long
 #: runs linear. An email starts at a run's begin, or where the last match ended within the run; an ip at a run's begin.
@@ -40,11 +42,6 @@ SCORES = {"email": (0.9, 1.0), "ip": (0.6, 0.9), "card": (0.8, 1.0), "phone": (0
 LEAST = 0.5
 
 
-def _let(value: Column, body) -> Column:
-    """body of a value that is worked out once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def located(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches in order: array of (start, match, before).
 
@@ -57,11 +54,11 @@ def located(text: Column, pattern: str) -> Column:
         F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(m.alias("match"), (F.length(p) + F.length(m)).alias("size"), F.right(p, F.lit(CONTEXT)).alias("before"))
     )
     known = F.filter(parts, lambda x: x["match"].isNotNull())
-    sizes = _let(known, lambda k: F.struct(k.alias("known"), F.transform(k, lambda x: x["size"]).alias("sizes")))
-    sums = _let(sizes, lambda s: F.struct(s["known"].alias("known"), s["sizes"].alias("sizes"), F.transform(F.sequence(F.lit(0), block(F.size(s["sizes"]))), lambda b: total(F.slice(s["sizes"], b * BLOCK + 1, BLOCK))).alias("sums")))
-    at = _let(sums, lambda s: F.struct(s["known"].alias("known"), s["sizes"].alias("sizes"), F.transform(s["sums"], lambda _, b: total(F.slice(s["sums"], F.lit(1), b))).alias("at")))
+    sizes = let(known, lambda k: F.struct(k.alias("known"), F.transform(k, lambda x: x["size"]).alias("sizes")))
+    sums = let(sizes, lambda s: F.struct(s["known"].alias("known"), s["sizes"].alias("sizes"), F.transform(F.sequence(F.lit(0), block(F.size(s["sizes"]))), lambda b: total(F.slice(s["sizes"], b * BLOCK + 1, BLOCK))).alias("sums")))
+    at = let(sums, lambda s: F.struct(s["known"].alias("known"), s["sizes"].alias("sizes"), F.transform(s["sums"], lambda _, b: total(F.slice(s["sums"], F.lit(1), b))).alias("at")))
     start = lambda s, x, i: F.get(s["at"], block(i)) + total(F.slice(s["sizes"], block(i) * BLOCK + 1, i % BLOCK + 1)) - F.length(x["match"])
-    return _let(at, lambda s: F.transform(s["known"], lambda x, i: F.struct(start(s, x, i).alias("start"), x["match"].alias("match"), x["before"].alias("before"))))
+    return let(at, lambda s: F.transform(s["known"], lambda x, i: F.struct(start(s, x, i).alias("start"), x["match"].alias("match"), x["before"].alias("before"))))
 
 
 def digits(match: Column) -> Column:
