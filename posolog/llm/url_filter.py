@@ -7,8 +7,11 @@ compare the stored string before a hit counts.
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import hashlib
 import json
+import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,28 +21,73 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posolog.llm.common import shared_dir
+from posolog.llm.common import mapped, raw_texts, shipped
 
 #: (action, host, path): a rule fits its host and all subdomains.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: What the list blocks where no rule fits.
 BLOCKED = (("spam-farm.example.org", ""), ("spam-farm.example.net", ""), ("spam-farm.example.com", ""))
-PROBED_URLS = 1 << 14
+
+
+def _file(n: int, values: list[str], keys: Iterable[bytes], ends: Iterable[bytes], codes: Iterable[bytes], strings: Iterable[bytes]) -> Iterator[bytes]:
+    """A list's file in chunks: a head, n sorted keys, where the n strings end, the places of their values, the strings."""
+    head = json.dumps({"n": n, "values": values}).encode()
+    yield len(head).to_bytes(8, "little") + head + b" " * (-len(head) % 8)
+    yield from keys
+    yield from ends
+    yield from codes
+    yield from strings
 
 
 def built(entries: Iterable[tuple[str, str]]) -> bytes:
-    """The file of a list: entries (string, value); of equal strings the last one's value holds."""
+    """The file of a short list: entries (string, value); of equal strings the last one's value holds."""
     held = {k.encode(): v for k, v in entries}
-    keys = np.fromiter((xxhash.xxh64_intdigest(k) for k in held), np.uint64, len(held))
-    order = np.argsort(keys, kind="stable")
-    stored = list(held)
-    strings = [stored[i] for i in order]
-    values = [held[s] for s in strings]
-    names = sorted(set(values))
-    offsets = np.cumsum([0, *map(len, strings)]).astype(np.uint64)
-    codes = np.array([names.index(v) for v in values], np.uint64)
-    head = json.dumps({"n": len(strings), "values": names}).encode()
-    return len(head).to_bytes(8, "little") + head + b" " * (-len(head) % 8) + keys[order].tobytes() + offsets.tobytes() + codes.tobytes() + b"".join(strings)
+    digests = {k: xxhash.xxh64_intdigest(k) for k in held}
+    strings, values = sorted(held, key=digests.get), sorted(set(held.values()))
+    keys = np.array([digests[k] for k in strings], np.uint64)
+    codes = np.array([values.index(held[k]) for k in strings], np.uint64)
+    return b"".join(_file(len(strings), values, [keys.tobytes()], [np.cumsum([len(k) for k in strings]).astype(np.uint64).tobytes()], [codes.tobytes()], strings))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows (key, string, code) a row of four blobs for each batch."""
+    for batch in batches:
+        strings = raw_texts(batch.column(1))
+        blobs = [(batch.column(0).to_numpy().view(np.uint64) + np.uint64(1 << 63)).tobytes(), np.array([len(x) for x in strings], np.uint64).tobytes(), batch.column(2).to_numpy().astype(np.uint64).tobytes(), b"".join(strings)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], ["keys", "sizes", "codes", "strings"])
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, raw_texts(batch.column(0))), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array((keys - np.uint64(1 << 63)).view(np.int64)), *batch.columns], ["key", "string", "code"])
+
+
+def built_of_table(entries: DataFrame) -> tuple[str, list[int]]:
+    """Ships the list of a table (host, path, value) to all executors; returns its name and the lengths of its paths.
+
+    Strings are digested and sorted by Spark and come to the driver part by part, which appends them to files: its memory
+    holds one batch. The list as a whole must fit on each machine's disk. Null hosts and paths count as empty; of equal
+    strings the greatest value holds.
+    """
+    spark = entries.sparkSession
+    host, path = (F.coalesce(F.col(c), F.lit("")) for c in ("host", "path"))
+    cuts = sorted((r[0] for r in entries.select(F.length(path)).distinct().collect()), reverse=True)
+    values = sorted(r[0] for r in entries.select("value").distinct().collect())
+    coded = entries.select(F.concat(host, path).alias("string"), (F.array_position(F.array(*map(F.lit, values)), F.col("value")) - 1).alias("code")).groupBy("string").agg(F.max("code").alias("code"))
+    ranked = coded.mapInArrow(_digested, "key bigint, string string, code bigint").orderBy("key", "string")
+    n, end, told = 0, 0, hashlib.sha256(json.dumps(values).encode())
+    with contextlib.ExitStack() as stack:
+        files = [stack.enter_context(tempfile.TemporaryFile()) for _ in range(4)]
+        for row in ranked.mapInArrow(_packed, "keys binary, sizes binary, codes binary, strings binary").toLocalIterator():
+            ends = np.cumsum(np.frombuffer(row["sizes"], np.uint64), dtype=np.uint64) + np.uint64(end)
+            n, end = n + len(ends), int(ends[-1]) if len(ends) else end
+            for f, blob in zip(files, (bytes(row["keys"]), ends.tobytes(), bytes(row["codes"]), bytes(row["strings"])), strict=True):
+                told.update(blob)
+                f.write(blob)
+        for f in files:
+            f.seek(0)
+        return shipped(spark, f"urls-{told.hexdigest()[:24]}.bin", _file(n, values, *(iter(functools.partial(f.read, 1 << 20), b"") for f in files))), cuts
 
 
 class DigestList:
@@ -52,9 +100,9 @@ class DigestList:
         n, at = head["n"], 8 + size + (-size % 8)
         self.values = head["values"]
         self.keys = whole[at : at + 8 * n].view(np.uint64)
-        self.offsets = whole[at + 8 * n : at + 16 * n + 8].view(np.uint64)
-        self.codes = whole[at + 16 * n + 8 : at + 24 * n + 8].view(np.uint64)
-        self.strings = whole[at + 24 * n + 8 :]
+        self.ends = whole[at + 8 * n : at + 16 * n].view(np.uint64)
+        self.codes = whole[at + 16 * n : at + 24 * n].view(np.uint64)
+        self.strings = whole[at + 24 * n :]
 
     def find(self, probes: list[bytes]) -> list[str | None]:
         """The values of the strings that are on the list, None for the others."""
@@ -67,30 +115,13 @@ class DigestList:
         for i in np.flatnonzero(hit):
             k = at[i]
             while k < len(self.keys) and self.keys[k] == digests[i]:
-                if bytes(self.strings[int(self.offsets[k]) : int(self.offsets[k + 1])]) == probes[i]:
+                if bytes(self.strings[int(self.ends[k - 1]) if k else 0 : int(self.ends[k])]) == probes[i]:
                     out[i] = self.values[int(self.codes[k])]
                     break
                 k += 1
         return out
 
 
-def _shipped(spark: SparkSession, data: bytes) -> str:
-    """Puts a list's file into the shared folder and has every executor fetch it; returns its name."""
-    name = f"urls-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/posolog/{name}")
-    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.exists(where):
-        part = where.suffix(".part")
-        stream = store.create(part, True)
-        for k in range(0, len(data), 1 << 23):
-            stream.write(bytearray(data[k : k + (1 << 23)]))
-        stream.close()
-        store.rename(part, where)
-    spark.sparkContext.addFile(where.toString())
-    return name
-
-
 _OPEN: dict[str, DigestList] = {}
 
 
@@ -116,20 +147,26 @@ def suffixes(host: str) -> list[str]:
     return [host, *(host[k + 1 :] for k, c in enumerate(host) if c == ".")] if host else []
 
 
+def _listed(spark: SparkSession, entries, value: str | None = None) -> tuple[str, list[int]]:
+    """A shipped list's name and the lengths of its paths, longest first, of a table or of (value, host, path) rows."""
+    if isinstance(entries, DataFrame):
+        return built_of_table(entries if value is None else entries.withColumn("value", F.lit(value)))
+    rows = [(e if value is None else (value, *e)) for e in entries]
+    data = built((h + p, v) for v, h, p in rows)
+    return shipped(spark, f"urls-{hashlib.sha256(data).hexdigest()[:24]}.bin", [data]), sorted({len(p) for _, _, p in rows}, reverse=True)
+
+
 def judge_urls(pages: DataFrame, rules=RULES, blocked=BLOCKED, url_col: str = "url") -> DataFrame:
-    """Adds host, path, rule (or null) and verdict to every row; columns of these names are replaced.
+    """Adds host, path, rule (or null) and verdict to every row; columns of these names are replaced, all others stay.
 
-    The longest fitting rule (host and path together) decides; where none fits, a url is blocked if the list has its
-    host, or a domain above it, with a prefix of its path. Urls that are null or have no `://` have an empty host and
-    path, fit nothing and are allowed. A path is compared as it is written, a host by whole labels.
+    rules are rows (action, host, path), blocked rows (host, path); either may be a table, of (host, path, value) or of
+    (host, path), which is how long lists come. The longest fitting rule (host and path together) decides; where none
+    fits, a url is blocked if the list has its host, or a domain above it, with a prefix of its path. Urls that are null
+    or have no `://` have an empty host and path, fit nothing and are allowed. A path is compared as it is written, a
+    host by whole labels. Rows are judged by themselves, repeated ones alike; a url of any length is judged whole.
     """
     spark = pages.sparkSession
-    ruled = _shipped(spark, built((h + p, a) for a, h, p in rules))
-    listed = _shipped(spark, built((h + p, "block") for h, p in blocked))
-    rule_cuts = sorted({len(p) for _, _, p in rules}, reverse=True)
-    list_cuts = sorted({len(p) for _, p in blocked}, reverse=True)
-    kept = pages.drop("host", "path", "rule", "verdict")
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "host string, path string, rule string, verdict string"])
+    (ruled, rule_cuts), (listed, list_cuts) = _listed(spark, rules), _listed(spark, blocked, "block")
 
     def probed(parts: list[tuple[str, str]], name: str, cuts: list[int]) -> list[tuple[str, str] | None]:
         """For each url its longest string on the list and that string's value."""
@@ -146,14 +183,10 @@ def judge_urls(pages: DataFrame, rules=RULES, blocked=BLOCKED, url_col: str = "u
                 best[i] = probe, value
         return best
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, PROBED_URLS):
-                batch = whole.slice(k, PROBED_URLS)
-                parts = [parts_of(u) for u in batch.column(batch.num_columns - 1).to_pylist()]
-                fits, found = probed(parts, ruled, rule_cuts), probed(parts, listed, list_cuts)
-                verdicts = [r[1] if r else "block" if b else "allow" for r, b in zip(fits, found, strict=True)]
-                columns = [[h for h, _ in parts], [p for _, p in parts], [r[0] if r else None for r in fits], verdicts]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.string()) for c in columns)], [*batch.schema.names[:-1], "host", "path", "rule", "verdict"])
-
-    return kept.withColumn("_url_", F.col(url_col).cast("string")).mapInArrow(run, shape)
+    def work(urls: pa.Array) -> list[pa.Array]:
+        parts = [parts_of(u) for u in urls.to_pylist()]
+        fits, found = probed(parts, ruled, rule_cuts), probed(parts, listed, list_cuts)
+        verdicts = [r[1] if r else "block" if b else "allow" for r, b in zip(fits, found, strict=True)]
+        return [pa.array(c, pa.string()) for c in ([h for h, _ in parts], [p for _, p in parts], [r[0] if r else None for r in fits], verdicts)]
+
+    return mapped(pages, url_col, [(c, "string") for c in ("host", "path", "rule", "verdict")], work)

@@ -12,17 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posolog.llm.common import small, written
+from posolog.llm.common import pieces, quoted, released, small, written
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 1000
 #: An archive is closed at this compressed size.
 ARCHIVE_BYTES = 8 << 20
 CHUNK = 1 << 16
+#: Bytes that one step of unpacking gives at most.
+UNPACKED = 1 << 20
 BROADCAST_ROWS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:x-page:"
-READ_SCHEMA = "page_id {kind}, url string, record_type string, refers_to {kind}, payload_bytes bigint, payload_digest string, intact boolean, payload binary"
+READ_SCHEMA = "page_id string, url string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, intact boolean, payload binary"
 
 
 def _digest(data: bytes) -> str:
@@ -30,7 +32,8 @@ def _digest(data: bytes) -> str:
 
 
 def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bool = False, level: int = 5) -> bytes:
-    """One gzip member: a response with its payload, or a revisit with the HTTP head alone."""
+    """One gzip member: a response with its payload, or a revisit with the HTTP head alone. White space in a url becomes
+    single blanks, as a header line must not break."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head if revisit else head + payload
     lines = [
@@ -52,29 +55,40 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bo
 
 
 class _Members:
-    """Bytes of the members one after the other, unpacked as they are asked for."""
+    """Bytes of the members one after the other, unpacked as they are asked for, UNPACKED of them at most at once."""
 
     def __init__(self, data: bytes | memoryview):
-        self.data, self.at, self.ready = memoryview(data), 0, b""
-        self.unpacker = zlib.decompressobj(31)
+        self.data, self.at, self.ready, self.rest = memoryview(data), 0, b"", b""
+        self.unpacker = None
 
     def more(self) -> bool:
-        """Unpacks a further chunk; False at the end of the archive."""
-        while self.at < len(self.data):
-            part = self.data[self.at : self.at + CHUNK]
-            self.at += len(part)
-            got = self.unpacker.decompress(part)
+        """Unpacks a further chunk; False at the end of the archive, ValueError if that is within a member."""
+        while self.rest or self.at < len(self.data) or self.unpacker is not None:
+            last = not self.rest and self.at >= len(self.data)
+            part = self.rest or self.data[self.at : self.at + CHUNK]
+            self.at += 0 if self.rest else len(part)
+            self.unpacker = self.unpacker or zlib.decompressobj(31)
+            try:
+                got = self.unpacker.decompress(part, UNPACKED)
+            except zlib.error as error:
+                raise ValueError(f"a member is broken: {error}") from error
+            self.rest = self.unpacker.unconsumed_tail
             if self.unpacker.eof:
                 self.at -= len(self.unpacker.unused_data)
-                self.unpacker = zlib.decompressobj(31)
+                self.unpacker, self.rest = None, b""
             if got:
                 self.ready += got
                 return True
+            if last and self.unpacker is not None:
+                raise ValueError("the archive ends within a member")
         return False
 
     def until(self, mark: bytes) -> bytes | None:
+        """What comes before the next mark; None if nothing comes any more."""
         while (k := self.ready.find(mark)) < 0:
             if not self.more():
+                if self.ready:
+                    raise ValueError("the archive ends within a record's head")
                 return None
         out, self.ready = self.ready[:k], self.ready[k + len(mark) :]
         return out
@@ -98,7 +112,9 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def records(archive: bytes) -> Iterator[dict]:
-    """The records of an archive in order, with checked digests; a broken frame raises ValueError."""
+    """The records of an archive in order, with checked digests; a broken frame or a cut archive raises ValueError.
+
+    A revisit has no payload: its digest is what its header says, see checked_revisits()."""
     members = _Members(archive)
     while (head := members.until(b"\r\n\r\n")) is not None:
         if not head.startswith(b"WARC/1."):
@@ -135,22 +151,24 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     A null page body is an empty payload, a null url has no target line. Of equal payloads of `least` bytes or more the
     one with the largest id is the response and all others are revisits of it (also those with a null id); rows that
-    repeat the largest id are responses all. Shorter payloads are always responses. Other columns are not stored.
+    repeat the largest id are responses all. Shorter payloads are always responses. Ids are of any type that is the same
+    after a cast to text and back; a payload of any length is one record. Other columns are not stored.
     """
-    docs = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("_payload"))
+    docs = pages.select(quoted(id_col).alias("_id"), quoted(url_col).cast("string").alias("_url"), F.coalesce(quoted(html_col), F.lit("")).cast("binary").alias("_payload"))
     docs = docs.withColumn("_digest", F.sha1("_payload"))
     known = written(revisits(docs, least), "revisits")
     known = small(known.toDF("_rid", "_rdigest", "refers_to").withColumn("_revisit", F.lit(True)), known.count(), BROADCAST_ROWS)
     same = F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_digest") == F.col("_rdigest"))
-    typed = docs.join(known, same, "left").select("_id", "_url", "_payload", "refers_to", F.coalesce("_revisit", F.lit(False)).alias("_revisit"))
+    typed = docs.join(known, same, "left").select(F.col("_id").cast("string"), "_url", "_payload", F.col("refers_to").cast("string"), F.coalesce("_revisit", F.lit(False)).alias("_revisit"))
 
+    @released
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
 
         def closed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary()), pa.array([len(parts)], pa.int64())], ["archive", "records"])
 
-        for batch in batches:
+        for batch in pieces(batches, 2):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parts.append(record(*row))
                 held += len(parts[-1])
@@ -165,34 +183,33 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 def read_archives(archives: DataFrame, id_kind: str = "bigint", payloads: bool = True) -> DataFrame:
     """The records of archives in a binary column `archive`: see READ_SCHEMA. Null archives have none."""
-    schema = READ_SCHEMA.format(kind=id_kind) if payloads else READ_SCHEMA.format(kind=id_kind).removesuffix(", payload binary")
-    names = [x.split()[0] for x in schema.split(", ")]
-    of_id = int if id_kind in ("bigint", "int", "smallint", "tinyint") else str
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
-    types = [kinds[x.split()[1]] for x in schema.split(", ")]
-
-    def batch_of(rows: list[dict]) -> pa.RecordBatch:
-        for r in rows:
-            r |= {k: of_id(r[k]) for k in ("page_id", "refers_to") if r[k] is not None}
-        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names)
+    schema = READ_SCHEMA if payloads else READ_SCHEMA.removesuffix(", payload binary")
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names, types = [x.split()[0] for x in schema.split(", ")], [kinds[x.split()[1]] for x in schema.split(", ")]
 
+    @released
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column(0):
-                if not archive.is_valid:
-                    continue
                 rows, held = [], 0
-                for r in records(archive.as_buffer()):
-                    if not payloads:
-                        del r["payload"]
+                for r in records(archive.as_buffer()) if archive.is_valid else ():
                     rows.append(r)
-                    held += 200 + len(r.get("payload") or b"")
+                    held += 200 + len(r["payload"] or b"") * payloads
                     if held > ARCHIVE_BYTES:
-                        yield batch_of(rows)
+                        yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], t) for n, t in zip(names, types, strict=True)], names)
                         rows, held = [], 0
-                yield batch_of(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], t) for n, t in zip(names, types, strict=True)], names)
+
+    found = archives.select("archive").mapInArrow(unpack, schema)
+    return found.withColumns({c: F.col(c).cast(id_kind) for c in ("page_id", "refers_to")})
+
 
-    return archives.select("archive").mapInArrow(unpack, schema)
+def checked_revisits(found: DataFrame) -> DataFrame:
+    """Records of which a revisit is intact only if the response that it refers to is there and has its digest."""
+    known = found.filter("record_type = 'response'").select(F.col("page_id").cast("string").alias("_known"), F.col("payload_digest").alias("_digest")).distinct().withColumn("_met", F.lit(True))
+    key = F.when(F.col("record_type") == "revisit", F.col("refers_to").cast("string")).otherwise(F.concat(F.lit("-"), F.col("page_id").cast("string")))  # no id, and not one key for all
+    met = found.withColumn("_key", key).join(known, (F.col("_key") == F.col("_known")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    return met.select(*[(F.col(c) & ((F.col("record_type") != "revisit") | F.coalesce("_met", F.lit(False)))).alias(c) if c == "intact" else F.col(c) for c in found.columns])
 
 
 def archives_of_files(spark: SparkSession, path: str) -> DataFrame:
@@ -203,6 +220,7 @@ def archives_of_files(spark: SparkSession, path: str) -> DataFrame:
 def save_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Writes each archive to a file in a folder that all machines mount; returns the names. Safe to repeat."""
 
+    @released
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = []
