@@ -17,7 +17,7 @@ from posolog.llm.matroska import round_trip
 from posolog.llm.pii import BASE, find_pii, listed
 from posolog.llm.quality import fit, held_out, score_quality
 from posolog.llm.url_filter import judge_urls
-from posolog.llm.warc import read_archives, write_archives
+from posolog.llm.warc import checked_revisits, read_archives, write_archives
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +27,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
-    )
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+        F.array_join("near_items", ",").alias("near_items"),
+    )
 
 
 def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode(encode(table(spark, sf_dir, "documents")).select("doc_id", "ids"))
+    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids"))
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -58,13 +59,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     of = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *[of(k) for k in BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *[of(k) for k in BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     archives = written(write_archives(pages), "archives")
-    return read_archives(archives, pages.schema["page_id"].dataType.simpleString(), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    found = read_archives(archives, pages.schema["page_id"].dataType.simpleString(), payloads=False)
+    return checked_revisits(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,21 +88,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS cut FROM documents),
+p AS (
+  SELECT doc_id, text, flatten(list_transform(cut, lambda body, line: list_transform(range(0, len(string_split(body, ' ')), 25),
+    lambda k: {'line': line, 'body': array_to_string(string_split(body, ' ')[k + 1 : k + 25], ' ')}))) AS lines FROM l),
 w AS (
-  SELECT doc_id, i AS first_at, 3 AS covers, lines[i + 1] || chr(10) || lines[i + 2] || chr(10) || lines[i + 3] AS body, 'w' AS kind
-  FROM (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS i FROM l WHERE len(lines) >= 3)
-  UNION ALL
-  SELECT doc_id, i, 1, lines[i + 1], 'p'
-  FROM (SELECT doc_id, lines, unnest(range(0, len(lines))) AS i FROM l)
-  WHERE len(string_split_regex(trim(lines[i + 1]), ' +')) >= 50),
-o AS (SELECT kind, body, min(doc_id * 10000000 + first_at) AS origin FROM w GROUP BY ALL HAVING count(*) > 1),
+  SELECT doc_id, i AS first_at, array_to_string(list_transform(lines[i + 1 : i + 3], lambda x: x.body), chr(10)) AS body
+  FROM (SELECT doc_id, lines, unnest(range(0, greatest(len(lines) - 2, 1))) AS i FROM p WHERE text <> '')),
+o AS (SELECT body, min(doc_id * 10000000 + first_at) AS origin FROM w GROUP BY body HAVING count(*) > 1),
 g AS (
-  SELECT doc_id, list_distinct(flatten(list(range(first_at, first_at + covers)))) AS gone
-  FROM w JOIN o USING (kind, body) WHERE doc_id * 10000000 + first_at <> origin GROUP BY doc_id)
-SELECT l.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-  array_to_string(list_filter(lines, lambda x, i: gone IS NULL OR NOT list_contains(gone, CAST(i - 1 AS BIGINT))), chr(10)) AS text
-FROM l LEFT JOIN g USING (doc_id)
+  SELECT doc_id, list_distinct(flatten(list(range(first_at, first_at + 3)))) AS gone
+  FROM w JOIN o USING (body) WHERE doc_id * 10000000 + first_at <> origin GROUP BY doc_id),
+k AS (
+  SELECT p.doc_id, text, lines, gone, list_filter(lines, lambda x, i: gone IS NULL OR NOT list_contains(gone, CAST(i - 1 AS BIGINT))) AS kept
+  FROM p LEFT JOIN g USING (doc_id))
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_removed,
+  CASE WHEN text IS NOT NULL THEN array_to_string(list_transform(kept, lambda x, i: CASE WHEN i = 1 THEN '' WHEN kept[i - 1].line = x.line THEN ' ' ELSE chr(10) END || x.body), '') END AS text
+FROM k
 """,
     "op2_decontaminate": r"""
 WITH dw AS (
@@ -108,7 +112,7 @@ WITH dw AS (
 bw AS (
   SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM benchmark),
 win AS (
-  SELECT item_id, array_to_string(words[i + 1 : i + 13], ' ') AS body, least(len(words), 13) AS n
+  SELECT item_id, i AS first_at, words[i + 1 : i + 13] AS terms, array_to_string(words[i + 1 : i + 13], ' ') AS body, least(len(words), 13) AS n
   FROM (SELECT item_id, words, unnest(range(0, greatest(len(words) - 12, 1))) AS i FROM bw WHERE len(words) > 0)),
 lens AS (SELECT DISTINCT n FROM win),
 spots AS (
@@ -118,10 +122,24 @@ hits AS (SELECT doc_id, item_id, i, s.n FROM spots s JOIN win ON win.n = s.n AND
 agg AS (
   SELECT doc_id, len(list_distinct(flatten(list(range(i, i + n))))) AS n_hit, count(DISTINCT item_id) AS n_items,
     array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',') AS items
-  FROM hits GROUP BY doc_id)
+  FROM hits GROUP BY doc_id),
+places AS (SELECT doc_id, unnest(words) AS term, unnest(range(0, len(words))) AS pos FROM dw),
+counts AS (SELECT term, count(*) AS n FROM places GROUP BY term),
+ranked AS (
+  SELECT item_id, first_at + j AS place, t.term, coalesce(c.n, 0) AS n, row_number() OVER (PARTITION BY item_id, first_at ORDER BY coalesce(c.n, 0), j) AS r
+  FROM (SELECT item_id, first_at, unnest(terms) AS term, unnest(range(0, len(terms))) AS j FROM win) t LEFT JOIN counts c USING (term)),
+lookups AS (SELECT DISTINCT item_id, place, term FROM ranked WHERE r <= 2 AND n > 0),
+wanted AS (SELECT item_id, greatest(2, ceil(count(DISTINCT place) * 0.6)) AS least FROM lookups GROUP BY item_id),
+shifted AS (SELECT DISTINCT doc_id, item_id, place, pos - place AS shift FROM places JOIN lookups USING (term)),
+near AS (
+  SELECT DISTINCT a.doc_id, a.item_id FROM (SELECT DISTINCT doc_id, item_id, shift FROM shifted) a
+  JOIN shifted b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.shift >= a.shift AND b.shift < a.shift + 16
+  JOIN wanted w ON w.item_id = a.item_id
+  GROUP BY a.doc_id, a.item_id, a.shift, w.least HAVING count(DISTINCT b.place) >= w.least),
+listed AS (SELECT doc_id, array_to_string(list_sort(list(CAST(item_id AS VARCHAR))), ',') AS near_items FROM near GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
-FROM dw LEFT JOIN agg USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated, coalesce(near_items, '') AS near_items
+FROM dw LEFT JOIN agg USING (doc_id) LEFT JOIN listed USING (doc_id)
 """,
     "op7_url_filter": r"""
 WITH u AS (

@@ -12,6 +12,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from posolog.llm import jaccard_join, matroska, queries, warc
@@ -153,8 +154,26 @@ def test_warc(spark, tmp_path):
     again = warc.read_archives(warc.archives_of_files(spark, f"{tmp_path}/*.warc.gz")).collect()
     assert sorted(map(str, again)) == sorted(map(str, out))
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"))).count() == 0
-    with pytest.raises(ValueError):
-        list(warc.records(warc.record(1, "u", b"x" * 100)[:-30]))
+    found = warc.read_archives(archives)
+    assert all(r.intact for r in warc.checked_revisits(found).collect())
+    lost = warc.checked_revisits(found.filter("page_id IS NULL OR page_id <> 3")).collect()
+    assert {r.page_id for r in lost if not r.intact} == {1, 2, None}
+    dates = spark.createDataFrame([("2020-01-02", "u", "z" * 1500), ("2020-01-03", "u", "z" * 1500)], "page_id string, url string, html string").withColumn("page_id", F.col("page_id").cast("date"))
+    assert sorted(str(r.refers_to) for r in warc.read_archives(warc.write_archives(dates), "date").collect()) == ["2020-01-03", "None"]
+
+
+def test_warc_cut_anywhere():
+    """Every cut of an archive is an error but those between members."""
+    one, two = warc.record(1, "u", b"x" * 100), warc.record(2, "u", bytes(range(256)) * 300)
+    assert [r["payload_bytes"] for r in warc.records(one + two)] == [100, 76800]
+    for k in range(len(one + two)):
+        if k in (0, len(one)):
+            assert len(list(warc.records((one + two)[:k]))) == (k > 0)
+        else:
+            with pytest.raises(ValueError):
+                list(warc.records((one + two)[:k]))
+    long = warc.record(3, "u", b"\0" * (5 << 20))
+    assert [r["payload_bytes"] for r in warc.records(long + one)] == [5 << 20, 100] and all(r["intact"] for r in warc.records(long + one))
 
 
 def test_urls(spark):
@@ -180,6 +199,25 @@ def test_digest_list_confirms_strings(tmp_path):
     assert DigestList(str(tmp_path / "e")).find([b"x"]) == [None]
 
 
+def test_urls_odd_tables(spark):
+    rows = [("http://EXAMPLE.com/en/" + "x" * 100_000, "mine", 1), ("http://EXAMPLE.com/en/" + "x" * 100_000, "mine", 1), (None, "mine", 2)]
+    frame = spark.createDataFrame(rows, "url string, _url_ string, source int").withColumn("verdict", F.lit("x"))
+    out = judge_urls(frame)
+    assert out.columns == ["url", "_url_", "source", "host", "path", "rule", "verdict"]
+    assert [(r._url_, r.source, len(r.path), r.verdict) for r in out.orderBy("source").collect()] == [("mine", 1, 100_004, "block")] * 2 + [("mine", 2, 0, "allow")]
+    assert judge_urls(frame.limit(0)).count() == 0
+
+
+def test_url_list_of_a_table(spark):
+    """A million entries, built without a list on the driver."""
+    n = 1_000_000
+    table = spark.range(n).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".example")).alias("host"), F.when(F.col("id") % 3 == 0, "/bad/").otherwise("").alias("path"))
+    asked = [f"http://{'sub.' * (k % 2)}h{k}.example/{'bad/' * (k % 4 == 0)}x" for k in [*range(300), n - 1, n, n + 7]]
+    got = {r.url: r.verdict for r in judge_urls(spark.createDataFrame([(u,) for u in asked], "url string"), (), table).collect()}
+    for u, k in zip(asked, [*range(300), n - 1, n, n + 7], strict=True):
+        assert got[u] == ("block" if k < n and (k % 3 or "/bad/" in u) else "allow")
+
+
 def labelled(n=600):
     random.seed(7)
     voc = ["the", "of", "and"] + ["".join(random.choice("abcdefgh") for _ in range(random.randint(3, 8))) for _ in range(400)]

@@ -1,5 +1,7 @@
 """Line dedup, decontamination and PII against plain Python, with nulls, ties, repeated rows and clashing names."""
 
+import collections
+import math
 import random
 import re
 
@@ -17,33 +19,47 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def brute_lines(rows, lines=3, words=50):
+def brute_lines(rows, lines=3, words=25):
+    """What stays of each (id, text): windows over lines that are wrapped after `words` words."""
+
+    def cut(t):
+        return [(n, " ".join(w[k : k + words])) for n, w in enumerate(x.split(" ") for x in t.split("\n")) for k in range(0, len(w), words)]
+
     spots = []
     for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0])):
-        if t is not None:
-            ls = t.split("\n")
-            spots += [(("w", *ls[k : k + lines]), i, t, k, lines) for k in range(len(ls) - lines + 1)]
-            spots += [(("p", x), i, t, k, 1) for k, x in enumerate(ls) if len([w for w in x.split(" ") if w]) >= words]
+        if t:
+            bodies = [b for _, b in cut(t)]
+            spots += [(tuple(bodies[k : k + lines]), i, t, k) for k in range(max(1, len(bodies) - lines + 1))]
     first, gone = {}, {}
-    for body, i, t, k, n in spots:
+    for body, i, t, k in spots:
         if body in first and first[body] != (i, t, k):
-            gone.setdefault((i, t), set()).update(range(k, k + n))
+            gone.setdefault((i, t), set()).update(range(k, k + lines))
         first.setdefault(body, (i, t, k))
-    return {(i, t): None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((i, t), ())) for i, t in rows}
+    out = {}
+    for i, t in rows:
+        kept = {}
+        for k, (n, b) in enumerate(cut(t or "")):
+            if k not in gone.get((i, t), ()):
+                kept.setdefault(n, []).append(b)
+        out[i, t] = None if t is None else "\n".join(" ".join(x) for x in kept.values())
+    return out
 
 
 def test_line_dedup(spark):
     random.seed(1)
-    long = " ".join(f"w{k}" for k in range(55))
+    run = lambda n, w="w": " ".join(f"{w}{k}" for k in range(n))
     rows = [(k, "\n".join(random.choice("abcd") for _ in range(random.randint(0, 12)))) for k in range(60)]
-    rows += [(100, long), (101, "x\n" + long + "\ny"), (102, None), (103, ""), (104, "a\nb"), (105, "a\nb"), (None, "q\nr\ns"), (106, "q\nr\ns"), (106, "q\nr\ns"), (107, "z\n" * 20000)]
-    got = dedup_lines(spark.createDataFrame([(*r, 5, "t") for r in rows], DOCS + ", n_removed int, _text string"))
-    assert got.columns == ["doc_id", "text", "_text", "n_lines", "n_removed"]
+    rows += [(100, run(55)), (101, "x\n" + run(55) + "\ny"), (102, None), (103, ""), (1033, ""), (104, "a\nb"), (105, "a\nb"), (None, "q\nr\ns"), (106, "q\nr\ns"), (106, "q\nr\ns"), (107, "z\n" * 20000)]
+    rows += [(110, f"one\n{run(26, 'p')}\n{run(26, 'q')}\ntwo"), (111, f"three\n{run(26, 'p')}\n{run(26, 'q')}\nfour"), (112, run(20000, "v")), (113, "five\n" + run(20000, "v")), (114, f"{run(49, 's')}\n  t  \tu "), (115, f"e\n{run(49, 's')}\ne")]
+    got = dedup_lines(spark.createDataFrame([(*r, 5, "t", 7, "k", "g") for r in rows], DOCS + ", n_removed int, _text string, _key int, key string, gone string"))
+    assert got.columns == ["doc_id", "text", "_text", "_key", "key", "gone", "n_lines", "n_removed"]
     out = got.collect()
     want = brute_lines(rows)
-    assert len(out) == len(rows)
+    assert len(out) == len(rows) and {(r._text, r._key, r.key, r.gone) for r in out} == {("t", 7, "k", "g")}
     by_place = sorted(((r.doc_id is not None, r.doc_id), r.text) for r in out if r.doc_id not in (102,))
     assert by_place == sorted(((i is not None, i), want[i, t]) for i, t in rows if i != 102)
+    text = {r.doc_id: r.text for r in out}
+    assert (text[101], text[111], text[105], text[113], text[1033]) == ("x\ny", "three\nfour", "", "five", "")
     assert next(r for r in out if r.doc_id == 102).n_lines == 0
     assert not re.search("Python|Pandas|Arrow", plan(got))
 
@@ -82,14 +98,58 @@ def test_decontamination(spark):
         body = random.choice([b for _, b in items if b])
         docs.append((k, f"{text(random.randint(0, 50))}, {body.title() if k % 3 else body}; {text(random.randint(0, 20))}" if k % 2 else text(40)))
     docs += [(100, None), (101, ""), (102, "?!"), (103, "the " * 3000), (104, items[0][1]), (104, items[0][1])]
-    frame = spark.createDataFrame([(*d, 1) for d in docs], DOCS + ", n_hit int")
+    frame = spark.createDataFrame([(*d, 1, 2, "i", "w") for d in docs], DOCS + ", n_hit int, _key int, id string, words string")
     got = judged(find_matches(frame, spark.createDataFrame(items, "item_id bigint, text string")))
+    assert {(r._key, r.id, r.words) for r in got.collect()} == {(2, "i", "w")}
     rows = sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got.collect()), key=repr)
     assert rows == brute_contamination(docs, items)
     assert any(r[4] for r in rows) and not all(r[4] for r in rows)
     assert not re.search("Python|Pandas|Arrow", plan(got))
 
 
+def brute_near(docs, items, window=13, probes=2, slop=16, share=0.6):
+    counts = collections.Counter(w for _, t in docs for w in brute_words(t))
+    out = {i: set() for i, _ in docs}
+    for item, b in items:
+        bw = brute_words(b)
+        places = set()
+        for k in range(max(1, len(bw) - window + 1) if bw else 0):
+            ranked = sorted((counts[w], at) for at, w in enumerate(bw[k : k + window]))[:probes]
+            places |= {k + at for n, at in ranked if n}
+        for i, t in docs:
+            met = {(pos - p, p) for pos, w in enumerate(brute_words(t)) for p in places if bw[p] == w}
+            least = max(2, math.ceil(len(places) * share))
+            if any(len({p for s, p in met if s0 <= s < s0 + slop}) >= least for s0, _ in met):
+                out[i].add(str(item))
+    return {i: sorted(x) for i, x in out.items()}
+
+
+def test_near_items_and_spans(spark):
+    """Proximity at every distance of two halves, altered copies, and the places of exact windows."""
+    random.seed(3)
+    voc = [f"w{k}" for k in range(400)]
+    text = lambda n: [random.choice(voc) for _ in range(n)]
+    items = [(k, text(random.choice([3, 13, 20, 40]))) for k in range(8)]
+    docs = []
+    for k in range(120):
+        w = list(random.choice(items)[1])
+        at, far = random.randrange(1, len(w)), random.randrange(0, 24)
+        if k % 3 == 0:
+            w[random.randrange(len(w))] = f"new{k}"
+        docs.append((k, " ".join(text(random.randint(0, 40)) + w[:at] + (text(far) if k % 2 else []) + w[at:] + text(5))))
+    docs += [(500, None), (501, "")]
+    foreign = (99, ["w1", "w2", "nowhere", "w3", "w4"])
+    docs.append((502, "w1 w2 w9 w3 w4"))
+    told = [(i, " ".join(w)) for i, w in [*items, foreign]]
+    got = {r.doc_id: r for r in find_matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame(told, "item_id bigint, text string")).collect()}
+    want = brute_near(docs, told)
+    assert {i: list(r.near_items) for i, r in got.items()} == want and sum(map(len, want.values())) > 40
+    for i, t in docs:
+        w = brute_words(t)
+        spans = {(p, p + len(b)) for _, item in told for bw in [brute_words(item)] for k in range(max(1, len(bw) - 12)) for b in [bw[k : k + 13]] for p in range(len(w) - len(b) + 1) if w[p : p + len(b)] == b}
+        assert [(s.start, s.end) for s in got[i].spans] == sorted(spans)
+
+
 def test_decontamination_empty(spark):
     none = spark.createDataFrame([], DOCS)
     items = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
@@ -139,4 +199,5 @@ def test_pii_more_kinds_and_context(spark):
     out = {r.doc_id: [(p.kind, p.score) for p in r.pii] for r in find_pii(spark.createDataFrame(rows, DOCS)).collect()}
     assert ("iban", 1.0) in out[1] and not any(k == "iban" for k, _ in out[2])
     assert out[3] == [("ssn", 0.9)] and out[4] == []
+    assert find_pii(spark.createDataFrame([], DOCS)).count() == 0
     assert out[5] == [("phone", 0.9)] and out[6] == [("phone", 0.6)]
