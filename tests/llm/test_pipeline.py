@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from posolog.llm.bpe import vocabulary, vocabulary_path
@@ -76,3 +77,23 @@ def test_near_dedup_tells_rows_of_one_id_apart(spark):
     assert out.columns == docs.columns
     want = [(1, text("a")), (2, text("b")), (4, text("c")), (None, text("c")), (None, text("c")), (5, None), (5, None)]
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_odd_tables(spark, corpus, tmp_path):
+    """Repeated rows, further columns of the operators' own names, and an empty corpus go through all stages."""
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    more = "score double, predicted int, n_lines int, n_removed string, items int, near_items int, contaminated string, place int, key int, made int".split(", ")
+    wide = docs.union(docs.filter("doc_id < 3 OR doc_id = 2000")).select("*", *[F.lit("7").cast(m.split()[1]).alias(m.split()[0]) for m in more])
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, wide, corpus)
+        out.write.parquet(f"{tmp_path}/wide{k}")
+        if name != "bpe":
+            assert out.columns == wide.columns
+            wide = spark.read.parquet(f"{tmp_path}/wide{k}")
+            assert wide.filter("score = 7 AND predicted = 7 AND n_lines = 7 AND n_removed = '7' AND items = 7 AND contaminated = '7' AND place = 7 AND key = 7 AND made = 7").count() == wide.count()
+    ids = [r.doc_id for r in wide.collect()]
+    assert sorted(ids)[:200] == list(range(200)) and all(ids.count(i) == 1 for i in range(3))
+    empty = spark.createDataFrame([], FIELDS)
+    for _, stage in pipeline.STAGES:
+        empty = stage(spark, empty, corpus)
+        assert empty.count() == 0
