@@ -2,14 +2,16 @@
 
 Sets of equal shingles are one node. Under any global order, two sets with Jaccard >= t share k of the first p + k - 1
 tokens of one of them, p = n - ceil(t n) + 1. Order 1 is a hash; its prefixes (k = p) are indexed, tokens that no other
-prefix has go, and a set with fewer than k tokens left has no partner. Within what is left of a prefix, order 2 is by
-counts, rarest first: again linked sets share a token of the first ones, and these name the candidates. Orders 3 and 4
-are hashes again, and their filters are intersected before a pair's sets are compared.
+prefix has go, and a set with fewer than k tokens left has no partner. The whole sets of the others are counted the same
+way: one of which fewer than ceil(t n) tokens are in other sets too has no partner. Order 2 is by these counts, rarest
+first, and its prefixes name the candidates. Orders 3 and 4 are hashes again, and their filters are intersected before a
+pair's sets are compared.
 
 A bucket of few documents gives its pairs. Large ones that overlap are one family and don't: with K the tokens that most
 of its members have, two members z and y differ by at most |z^K| + |y^K| tokens, so the member nearest to K is linked to
-all that this bound admits, and every other linked pair shares tokens of z^K and y^K. Buckets by prefixes of those are
-taken the same way as long as some are large. No link is lost and no large group is paired with itself.
+all that this bound admits, and every other linked pair shares tokens of z^K and y^K. Those are counted and ranked within
+the family as tokens are before, and buckets by their prefixes are taken the same way as long as some are large: there
+one difference less is left. No link is lost and no large group is paired with itself.
 """
 
 from __future__ import annotations
@@ -138,36 +140,45 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, threshold: tuple[int, i
 
 def _least_of_partners(n: Column, threshold: tuple[int, int]) -> Column:
     """shared_least() of the smallest set that one of n tokens can link to."""
+    least = _least(n, threshold)
+    p = least - _least(least, threshold) + 1
+    return F.least(p, least - p + 1)
+
+
+def _least(n: Column, threshold: tuple[int, int]) -> Column:
+    """How many tokens a set of n shares with a linked one at least."""
     num, den = threshold
-    part = lambda x: F.ceil(x * num / den).cast("int")
-    small_one = part(n)
-    p = small_one - part(small_one) + 1
-    return F.least(p, small_one - p + 1)
+    return F.ceil(n * num / den).cast("int")
 
 
-def _rarest(sketches: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Rows (g, v, n): the tokens that name candidates, of the nodes that may have a partner.
+def _repeated(tokens: DataFrame, label: str) -> DataFrame:
+    """The rows (g, v, ..) of tokens g that several have, with how many do (c).
 
     Tokens are counted before they are shuffled, and one that a great part of all sets has is dealt out by the join.
     """
+    often = tokens.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1")
+    return written(tokens.join(often.hint("shuffle_hash"), "g"), label)
+
+
+def _may_link(sketches: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The nodes (v, f1) whose prefix under order 1 shares enough tokens with other prefixes."""
     n_nodes = nodes.count()
-    named = small(nodes.select(F.col("v").alias("_id"), "f1"), n_nodes, BROADCAST_IDS)
-    own = sketches.select("_id", "f1", "p1").join(named, ["_id", "f1"], "left_semi")
+    own = sketches.select("_id", "f1", "p1").join(small(nodes.select(F.col("v").alias("_id"), "f1"), n_nodes, BROADCAST_IDS), ["_id", "f1"], "left_semi")
     if own.count() > n_nodes:  # rows that are equal in id and text
         own = own.dropDuplicates(["_id", "f1"])
-    tokens = own.select(F.explode("p1").alias("g"), F.col("_id").alias("v"))
-    often = tokens.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = written(tokens.join(often.hint("shuffle_hash"), "g"), "shared")
-    least = _least_of_partners(F.col("n"), threshold)
-    kept = shared.groupBy("v").agg(F.count("*").cast("int").alias("s")).join(small(nodes.select("v", "n"), n_nodes, BROADCAST_IDS), "v").filter(F.col("s") >= least)
-    kept = written(kept.select("v", "n", (F.col("s") - least + 1).alias("size")), "kept")
-    ranked = shared.join(small(kept, kept.count(), BROADCAST_IDS), "v").withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("c", "g")))
-    return written(ranked.filter("at <= size").select("g", "v", "n"), "rarest")
+    shared = _repeated(own.select(F.explode("p1").alias("g"), F.col("_id").alias("v")), "shared")
+    found = shared.groupBy("v").agg(F.count("*").alias("s")).join(small(nodes, n_nodes, BROADCAST_IDS), "v")
+    return written(found.filter(F.col("s") >= _least_of_partners(F.col("n"), threshold)).select("v", "f1"), "wanted")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (g, v, n) of buckets with two rows or more."""
-    return rows.join(rows.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "g")
+def _rarest(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Rows (g, v, n): the prefixes under order 2 of the sets that share enough tokens with others."""
+    shared = _repeated(sets.select(F.explode("s").alias("g"), "v", "n"), "repeated")
+    least = _least(F.col("n"), threshold)
+    kept = shared.groupBy("v", "n").agg(F.count("*").alias("s")).filter(F.col("s") >= least)
+    kept = written(kept.select("v", (F.col("s") - least + 1).alias("size")), "kept")
+    ranked = shared.join(small(kept, kept.count(), BROADCAST_IDS), "v").withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("c", "g")))
+    return written(ranked.filter("rank <= size").select("g", "v", "n"), "rarest")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -238,7 +249,7 @@ def _core(rows: DataFrame, sets: DataFrame) -> DataFrame:
     near the members gives few keys."""
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("v")))).filter(F.col("r") <= CORE_SETS).drop("r")
     few = written(few, "few")
-    held = sets.join(small(few, few.count(), BROADCAST_IDS), "v").groupBy("g").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("t"), F.floor(F.count("*") / 2).cast("int").alias("half"))
+    held = sets.select("v", "s").join(small(few, few.count(), BROADCAST_IDS), "v").groupBy("g").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("t"), F.floor(F.count("*") / 2).cast("int").alias("half"))
     core = written(held.select("g", F.array_distinct(F.filter("t", lambda x, i: F.get("t", i + F.col("half")) == x)).alias("k")), "core")
     return small(core, core.agg(F.coalesce(F.sum(F.size("k")), F.lit(0))).first()[0], BROADCAST_TOKENS)
 
@@ -247,19 +258,17 @@ def _split(rows: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> tupl
     """One step on large buckets (g, v): the links that the bound proves, and the rows of the buckets that follow.
 
     With d = |v^K| and u = d - (1 - t) / (1 + t) n, two members are linked if their u sum to 0 or less, and if linked
-    otherwise share at least half that sum of the tokens of z^K and y^K. Prefixes under one order, tokens outside K
-    first, are as long as that asks. Members that the centre (of the least u) is linked to need only meet the others, of
-    which the nearest has the least u.
+    otherwise share at least half that sum of the tokens of z^K and y^K, and all but (1 - t) / t n of v^K. Members that
+    the centre (of the least u) is linked to need only meet the others, of which the nearest has the least u. Tokens that
+    one member alone has are shared with nobody; of the others each member gives its rarest ones, as many as that asks.
     """
     num, den = threshold
     rows = rows.select("g", "v")
-    members = sets.join(small(rows, rows.count(), BROADCAST_IDS), "v")
+    members = sets.select("v", "n", "s").join(small(rows, rows.count(), BROADCAST_IDS), "v")
     apart = (
         members.join(_core(rows, sets), "g")
         .select("g", "v", "n", F.concat(F.array_except("s", "k"), F.array_except("k", "s")).alias("d"))
         .withColumn("u", (den + num) * F.size("d") - (den - num) * F.col("n"))
-        .withColumn("size", F.size("d"))
-        .withColumn("d", F.slice("d", F.lit(1), F.floor(F.col("n") * (den - num) / num).cast("int") + 1))
     )
     apart = written(apart, "apart")
     centres = apart.groupBy("g").agg(F.min(F.struct("u", "v")).alias("m"))
@@ -267,28 +276,30 @@ def _split(rows: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> tupl
     proven = placed.filter(F.col("linked") & (F.col("v") != F.col("m.v"))).select(F.col("m.v").alias("a"), F.col("v").alias("b"))
     outer = placed.filter(~F.col("linked")).groupBy("g").agg(F.min("u").alias("outer"))
     nearest = F.when(F.col("linked"), F.col("outer")).otherwise(F.col("m.u"))
-    shared = F.greatest(F.lit(1), F.ceil((F.col("u") + nearest) / (2 * (den + num))))
-    keys = F.slice("d", F.lit(1), F.greatest(F.lit(0), F.col("size") - shared + 1).cast("int"))
-    following = placed.join(outer, "g").select("v", "n", "g", F.explode(keys).alias("t")).select(F.xxhash64("g", "t").alias("g"), "v", "n")
-    return proven, following
+    shared = F.greatest(F.lit(1), F.ceil((F.col("u") + nearest) / (2 * (den + num))), F.size("d") - F.floor(F.col("n") * (den - num) / num))
+    tokens = placed.join(outer, "g").withColumn("shared", shared).filter(F.size("d") >= F.col("shared")).select("g", "v", "n", "shared", F.explode("d").alias("t"))
+    often = tokens.groupBy("g", "t").agg(F.count("*").alias("c")).filter("c > 1")
+    own = Window.partitionBy("g", "v")
+    ranked = tokens.join(often, ["g", "t"]).withColumns({"size": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("c", "t"))})
+    return proven, ranked.filter(F.col("rank") <= F.col("size") - F.col("shared") + 1).select(F.xxhash64("g", "t").alias("g"), "v", "n")
 
 
 def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
     """Edges (a, b) between nodes (v, f1, n) whose closure is that of all links with Jaccard >= threshold."""
-    rows = written(_counted(_rarest(sketches, nodes, threshold)), "buckets")
+    wanted = _may_link(sketches, nodes, threshold)
+    sets = written(_sets(docs, small(wanted, wanted.count(), BROADCAST_IDS), words, threshold), "sets")
+    rows = written(_counted(_rarest(sets, threshold)), "buckets")
     pairs = written(_pairs(rows, threshold), "candidates")
     leads = rows.filter(F.col("members") > PAIRED).groupBy("g").agg(F.min("v").alias("lead"))
-    large = rows.join(leads, "g").select("lead", "v", "n")
+    large = rows.join(leads, "g").select("lead", "v")
     families = connected(large.select(F.col("lead").alias("a"), F.col("v").alias("b")))
-    large = written(large.select("v", "n").distinct().join(families.select("v", F.col("component").alias("g")), "v"), "large")
-    wanted = written(_named(pairs, large).join(nodes.select("v", "f1"), "v"), "wanted")
-    sets = written(_sets(docs, small(wanted, wanted.count(), BROADCAST_IDS), words, threshold), "sets")
+    large = written(families.select("v", F.col("component").alias("g")), "large")
     edges = _verified(pairs, sets, threshold)
     while not large.isEmpty():
         proven, following = _split(large, sets, threshold)
-        rows = written(_counted(written(_shared(following).distinct(), "shared")), "buckets")
+        rows = written(_counted(written(following, "following")), "buckets")
         edges += [proven, *_verified(written(_pairs(rows, threshold), "candidates"), sets, threshold)]
-        large = written(rows.filter(F.col("members") > PAIRED).select("g", "v", "n").distinct(), "large")
+        large = written(rows.filter(F.col("members") > PAIRED).select("g", "v"), "large")
     out = edges[0]
     for more in edges[1:]:
         out = out.union(more)
