@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posolog.llm.bpe import decode, encode
+from posolog.llm.bpe import recode
 from posolog.llm.common import table, written
 from posolog.llm.decontaminate import find_matches, judged
 from posolog.llm.jaccard_join import near_components
@@ -37,7 +37,7 @@ def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids"))
+    coded = recode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from posolog.llm import jaccard_join, matroska, queries, warc
-from posolog.llm.bpe import decode, encode, vocabulary, vocabulary_path
+from posolog.llm.bpe import decode, encode, recode, vocabulary, vocabulary_path
 from posolog.llm.components import connected
 from posolog.llm.lm import score_documents, train
 from posolog.llm.quality import fit, score_quality
@@ -41,10 +41,12 @@ def test_bpe_is_the_library(library, text):
 
 
 def test_bpe_frames(spark, library):
-    rows = [(1, None, 1), (2, "", 1), (3, "a" * 20000, 1), (4, "Hello <|endoftext|> wörld", 1), (4, "Hello <|endoftext|> wörld", 1), (None, " x", 1)]
-    out = decode(encode(spark.createDataFrame(rows, DOCS + ", ids int"))).collect()
-    assert len(out) == len(rows)
+    rows = [(*r, 1, "s", "d") for r in [(1, None), (2, ""), (3, "a" * 20000), (4, "Hello <|endoftext|> wörld"), (4, "Hello <|endoftext|> wörld"), (None, " x")]]
+    frame = spark.createDataFrame(rows, DOCS + ", ids int, _source_ string, decoded string")
+    out = decode(encode(frame)).collect()
+    assert len(out) == len(rows) and sorted(map(repr, recode(frame).select(*out[0].__fields__).collect())) == sorted(map(repr, out))
     for r in out:
+        assert r._source_ == "s"
         assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(r.text or "", add_special_tokens=False).ids
         assert r.decoded == (r.text or "")
     assert encode(spark.createDataFrame([], DOCS)).count() == 0
