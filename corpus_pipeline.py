@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posolog.llm.bpe import decode, encode
+from posolog.llm.bpe import recode
 from posolog.llm.common import quoted, small, table, unused, written
 from posolog.llm.decontaminate import ADDED, find_matches, judged
 from posolog.llm.jaccard_join import near_components
@@ -72,7 +72,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of them and of the text that they decode to."""
-    coded = decode(encode(docs.select("doc_id", "text")).select("doc_id", "ids"))
+    coded = recode(docs.select("doc_id", "text"))
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
