@@ -1,12 +1,15 @@
 """Sheets in, tables out: detection, pseudonyms, composition, files, workbooks, streams."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from posolog.operators.anonymize import patient_map
-from posolog.operators.detect import Roles, detect_columns, header_score
-from posolog.plans.batch import Sheet, api_parse, run_batch
-from posolog.sources.sinks import report_workbook, save, workbook, write_report
+from posolog.operators.detect import Roles, detect_columns, header_scores
+from posolog.plans.batch import Sheet, api_json, api_parse, run_batch
+from posolog.plans.dims import dim_factor
+from posolog.sources.sinks import report_workbook, save, workbook, write_factors, write_report
 from posolog.sources.tables import charset, check_name, delimiter, read_csv, read_sheets, read_xlsx, sample
 from posolog.streaming.stream import parse_stream, totals
 
@@ -68,7 +71,8 @@ def test_roles(spark):
     assert detect_columns(s.rows) == Roles(None, "medication", None, None, None)
     t = sheet(spark, "S", ["notes", "x", "patient"], [("Risperdal 2mg BID", "b", "c")])
     assert detect_columns(t.rows) == Roles("patient", "notes", None, None, None)
-    assert header_score([]) == -1 and header_score(["a", None, "drug"]) == pytest.approx(2 / 3 + 3)
+    scored = header_scores(spark.createDataFrame([(0, []), (1, ["a", None, "drug"])], "row int, cells array<string>")).orderBy("row").collect()
+    assert [r.header_score for r in scored] == [-1, pytest.approx(2 / 3 + 3)]
 
 
 def test_many_patients(spark):
@@ -132,6 +136,36 @@ def test_workbooks(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/out/detailed", header=True).count() == report.detailed.count()
 
 
+def test_sheets_as_people_have_them(spark, tmp_path):
+    """An empty sheet, one that begins late, cells beyond the first rows' width, and a file that is no workbook."""
+    empty = spark.createDataFrame([], "` ` string").select()
+    late = spark.createDataFrame([(None, None)] * 6 + [("patient_id", "medication"), ("P1", "Risperdal 2mg BID")], "a string, b string")
+    save(spark, workbook([("In", sample(spark)), ("Late", late), ("Empty", empty)]), f"file://{tmp_path}/w.xlsx")
+    got = read_xlsx(spark, f"{tmp_path}/w.xlsx")
+    assert [s.name for s in got] == ["In", "Late", "Empty"] and len(got[1].rows.columns) == 3 and got[2].rows.columns == ["row_index"]
+    (tmp_path / "bad.xlsx").write_bytes(b"nothing of the kind")
+    with pytest.raises(ValueError):
+        read_xlsx(spark, f"{tmp_path}/bad.xlsx")
+    (tmp_path / "twice.csv").write_text("patient_id,medication,medication,\nP1,a,b,c\n")
+    assert read_csv(spark, f"{tmp_path}/twice.csv").rows.columns == ["patient_id", "medication", "medication.1", "Unnamed: 3", "row_index"]
+
+
+def test_json(spark):
+    asked = [(1, '{"text": "Risperdal 2mg BID, lithium 600mg"}'), (2, '{"text": "  "}'), (3, "no json"), (4, None), (5, '{"text": ";"}')]
+    out = {r.id: json.loads(r.reply) for r in api_json(spark.createDataFrame(asked, "id int, body string")).collect()}
+    good, bad = out[1]["items"]
+    assert (good["ok"], good["drug"], good["daily_dose_mg"], good["conversions"][0]) == (True, "risperidone", 4.0, {"method": "CMD", "target": "chlorpromazine", "value": 389.0})
+    assert good["conversions"][1] == {"method": "CPZ_FGA", "target": "", "value": None}
+    assert (bad["ok"], bad["original"], bad["needs_review"]) == (False, "lithium 600mg", True) and bad["error"]
+    assert all(list(out[k]) == ["error"] for k in (2, 3, 4)) and out[5] == {"items": []}
+
+
+def test_factor_file(spark, tmp_path):
+    write_factors(dim_factor(spark), f"{tmp_path}/f")
+    rows = [(r.method_id, r.source_drug, r.target_drug) for r in spark.read.csv(f"{tmp_path}/f", header=True).collect()]
+    assert len(rows) == 675 and rows == sorted(rows)
+
+
 def test_offset_header(spark, tmp_path):
     rows = spark.createDataFrame([("", None), ("환자번호", "약물정보"), ("P01", "Risperdal 2㎎ BID")], "`기관 보고서` string, ` ` string")
     save(spark, workbook([("처방", rows)]), f"file://{tmp_path}/o.xlsx")
