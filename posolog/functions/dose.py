@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from posolog.functions.text import DOSE, plain_forms
 
+#: Fixed value: the pattern of a quantity.
 QUANTITY = r"(?iuU)\s((?:\d+(?:\.\d+)?|\.\d+))\s*(?:t|tabs?|tablets?|caps?|capsules?|정|캡슐)\b"
 
 

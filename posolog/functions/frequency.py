@@ -16,6 +16,7 @@ KEYWORDS = (
     (r"\b(?:qd|od|daily|once\s+(?:a\s+)?day|every\s+day|(?:하루|1일)\s*1\s*회|매일)\b|(?:mg|mcg|ug|μg|㎍|㎎|g)\s*/\s*(?:day|d)\b", "QD", 1.0),
     (r"\b(?:weekly|once\s+(?:a\s+)?week)\b", "WEEKLY", 1.0 / 7.0),
 )
+# Patterns of intervals, times a day, regimens, and of what is not converted; labels.
 HOURLY = r"\bq\s*(\d{1,2})\s*h\b|\bevery\s+(\d{1,2})\s+hours?\b"
 TIMES = r"\b(\d{1,2})\s*times?\s+(?:a\s+)?day\b|(\d{1,2})\s*회\s*/\s*(?:일|day)\b"
 REGIMEN = r"(?<![\d.])([0-9](?:\s*-\s*[0-9]){2,3})(?![\d.])"

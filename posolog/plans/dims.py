@@ -7,36 +7,36 @@ from pyspark.sql import functions as F
 
 #: Standard name: its aliases, in the order in which ties are decided.
 ALIASES = {
-    "amisulpride": "ami amisulpride amisulprid solian 솔리안 아미설프리드",
-    "aripiprazole": "ari apz aripiprazole aripiprazol abilify 아빌리파이 아리피프라졸",
-    "asenapine": "asen asenapine asenapin saphris 사프리스 아세나핀",
-    "brexpiprazole": "bre brexpiprazole brexpiprazol rexulti 렉설티 브렉스피프라졸",
-    "chlorpromazine": "cpz chlorpromazine chlorpromazin largactil 라가틸 클로르프로마진",
-    "clozapine": "clz clozapine clozapin clozaril 클로자릴 클로자핀",
-    "fluphenazine": "fluph fluphenazine fluphenazin prolixin 플루페나진",
-    "haloperidol": "hal haldol haloperidol haloperidolum 할돌 할로페리돌",
-    "iloperidone": "ilo iloperidone iloperidon fanapt 일로페리돈",
-    "lurasidone": "lur lurasidone lurasidon latuda 라투다 루라시돈",
-    "olanzapine": "ola olz olanzapine olanzapin zyprexa 자이프렉사 올란자핀",
-    "paliperidone": "pal paliperidone paliperidon invega 인베가 팔리페리돈",
-    "perphenazine": "per perphenazine perphenazin 트릴라폰 perphenan 퍼페나진",
-    "quetiapine": "qtp quetiapine quetiapin seroquel seroqel 세로켈 쿠에티아핀 퀘티아핀 케티아핀 코티아핀",
-    "risperidone": "ris rsp risperidone risperidon risperidonne risperdal 리스페달 리스페리돈",
-    "sertindole": "sert sertindole sertindol serdolect 세르틴돌",
-    "thioridazine": "thio thioridazine thioridazin mellaril 멜라릴 티오리다진",
-    "thiothixene": "thiothix thiothixene thiothixen navane 티오틱센",
-    "trifluoperazine": "tri trifluoperazine trifluoperazin stelazine 스텔라진 트리플루오페라진",
-    "ziprasidone": "zip ziprasidone ziprasidon geodon 지오돈 지프라시돈",
-    "zotepine": "zot zotepine zotepin lodopin 로도핀 조테핀",
+    "amisulpride": ("ami", "amisulpride", "amisulprid", "solian", "솔리안", "아미설프리드"),
+    "aripiprazole": ("ari", "apz", "aripiprazole", "aripiprazol", "abilify", "아빌리파이", "아리피프라졸"),
+    "asenapine": ("asen", "asenapine", "asenapin", "saphris", "사프리스", "아세나핀"),
+    "brexpiprazole": ("bre", "brexpiprazole", "brexpiprazol", "rexulti", "렉설티", "브렉스피프라졸"),
+    "chlorpromazine": ("cpz", "chlorpromazine", "chlorpromazin", "largactil", "라가틸", "클로르프로마진"),
+    "clozapine": ("clz", "clozapine", "clozapin", "clozaril", "클로자릴", "클로자핀"),
+    "fluphenazine": ("fluph", "fluphenazine", "fluphenazin", "prolixin", "플루페나진"),
+    "haloperidol": ("hal", "haldol", "haloperidol", "haloperidolum", "할돌", "할로페리돌"),
+    "iloperidone": ("ilo", "iloperidone", "iloperidon", "fanapt", "일로페리돈"),
+    "lurasidone": ("lur", "lurasidone", "lurasidon", "latuda", "라투다", "루라시돈"),
+    "olanzapine": ("ola", "olz", "olanzapine", "olanzapin", "zyprexa", "자이프렉사", "올란자핀"),
+    "paliperidone": ("pal", "paliperidone", "paliperidon", "invega", "인베가", "팔리페리돈"),
+    "perphenazine": ("per", "perphenazine", "perphenazin", "트릴라폰", "perphenan", "퍼페나진"),
+    "quetiapine": ("qtp", "quetiapine", "quetiapin", "seroquel", "seroqel", "세로켈", "쿠에티아핀", "퀘티아핀", "케티아핀", "코티아핀"),
+    "risperidone": ("ris", "rsp", "risperidone", "risperidon", "risperidonne", "risperdal", "리스페달", "리스페리돈"),
+    "sertindole": ("sert", "sertindole", "sertindol", "serdolect", "세르틴돌"),
+    "thioridazine": ("thio", "thioridazine", "thioridazin", "mellaril", "멜라릴", "티오리다진"),
+    "thiothixene": ("thiothix", "thiothixene", "thiothixen", "navane", "티오틱센"),
+    "trifluoperazine": ("tri", "trifluoperazine", "trifluoperazin", "stelazine", "스텔라진", "트리플루오페라진"),
+    "ziprasidone": ("zip", "ziprasidone", "ziprasidon", "geodon", "지오돈", "지프라시돈"),
+    "zotepine": ("zot", "zotepine", "zotepin", "lodopin", "로도핀", "조테핀"),
 }
 
 #: Method: (anchor, default target, amounts of each drug worth one unit of the anchor).
 WEIGHTS = {
-    "CMD": ("olanzapine", "chlorpromazine", "amisulpride 38.3, aripiprazole 1.4, asenapine 0.9, chlorpromazine 38.9, clozapine 30.6, haloperidol 0.7, olanzapine 1.0, quetiapine 32.3, risperidone 0.4, sertindole 1.1, ziprasidone 7.9, zotepine 13.2"),
-    "CPZ_FGA": ("chlorpromazine", "chlorpromazine", "chlorpromazine 1.0, fluphenazine 0.012, haloperidol 0.016, perphenazine 0.089, thioridazine 0.953, thiothixene 0.052, trifluoperazine 0.028"),
-    "DDD": ("olanzapine", "chlorpromazine", "amisulpride 40, aripiprazole 1.5, asenapine 2, chlorpromazine 30, clozapine 30, haloperidol 0.8, lurasidone 8, olanzapine 1, paliperidone 0.6, quetiapine 40, risperidone 0.5, ziprasidone 12, zotepine 20"),
-    "ED95": ("risperidone", "olanzapine", "amisulpride 85.238, aripiprazole 1.825, asenapine 2.381, brexpiprazole 0.533, haloperidol 1.0, iloperidone 3.195, lurasidone 23.333, olanzapine 2.413, paliperidone 2.127, quetiapine 76.508, risperidone 1.0, sertindole 3.571, ziprasidone 29.524"),
-    "MED": ("olanzapine", "olanzapine", "aripiprazole 1.333, asenapine 1.333, clozapine 40, haloperidol 0.533, iloperidone 1.067, lurasidone 5.333, olanzapine 1, paliperidone 0.4, quetiapine 20, risperidone 0.267, sertindole 1.6, ziprasidone 5.333"),
+    "CMD": ("olanzapine", "chlorpromazine", (("amisulpride", 38.3), ("aripiprazole", 1.4), ("asenapine", 0.9), ("chlorpromazine", 38.9), ("clozapine", 30.6), ("haloperidol", 0.7), ("olanzapine", 1.0), ("quetiapine", 32.3), ("risperidone", 0.4), ("sertindole", 1.1), ("ziprasidone", 7.9), ("zotepine", 13.2))),
+    "CPZ_FGA": ("chlorpromazine", "chlorpromazine", (("chlorpromazine", 1.0), ("fluphenazine", 0.012), ("haloperidol", 0.016), ("perphenazine", 0.089), ("thioridazine", 0.953), ("thiothixene", 0.052), ("trifluoperazine", 0.028))),
+    "DDD": ("olanzapine", "chlorpromazine", (("amisulpride", 40), ("aripiprazole", 1.5), ("asenapine", 2), ("chlorpromazine", 30), ("clozapine", 30), ("haloperidol", 0.8), ("lurasidone", 8), ("olanzapine", 1), ("paliperidone", 0.6), ("quetiapine", 40), ("risperidone", 0.5), ("ziprasidone", 12), ("zotepine", 20))),
+    "ED95": ("risperidone", "olanzapine", (("amisulpride", 85.238), ("aripiprazole", 1.825), ("asenapine", 2.381), ("brexpiprazole", 0.533), ("haloperidol", 1.0), ("iloperidone", 3.195), ("lurasidone", 23.333), ("olanzapine", 2.413), ("paliperidone", 2.127), ("quetiapine", 76.508), ("risperidone", 1.0), ("sertindole", 3.571), ("ziprasidone", 29.524))),
+    "MED": ("olanzapine", "olanzapine", (("aripiprazole", 1.333), ("asenapine", 1.333), ("clozapine", 40), ("haloperidol", 0.533), ("iloperidone", 1.067), ("lurasidone", 5.333), ("olanzapine", 1), ("paliperidone", 0.4), ("quetiapine", 20), ("risperidone", 0.267), ("sertindole", 1.6), ("ziprasidone", 5.333))),
 }
 
 METHOD_WARNINGS = {
@@ -78,18 +78,21 @@ MESSAGES = {
     "NO_MED_COLUMN": "약물 열을 찾지 못했습니다.",
 }
 
+#: The message for a request without a text.
+NO_TEXT = "약물과 용량을 입력해 주세요."
+
 METHODS = tuple(sorted(WEIGHTS))
 
 
 def alias_rows() -> list[tuple[int, str, str]]:
     """(place, alias, standard name)."""
-    pairs = [(a, name) for name, text in ALIASES.items() for a in text.split()]
+    pairs = [(a, name) for name, aliases in ALIASES.items() for a in aliases]
     return [(k, a, name) for k, (a, name) in enumerate(pairs)]
 
 
 def weight_rows() -> list[tuple[str, str, float]]:
     """(method, drug, weight)."""
-    return [(m, part.split()[0], float(part.split()[1])) for m, (_, _, text) in WEIGHTS.items() for part in text.split(", ")]
+    return [(m, drug, float(weight)) for m, (_, _, weights) in WEIGHTS.items() for drug, weight in weights]
 
 
 def factor_rows() -> list[tuple[str, str, str, float]]:
