@@ -12,10 +12,14 @@ NOTHING = ("", "nan", "none", "null")
 SEPARATORS = r"[;,\n+]"
 DECORATION = r"""[_·•‧/\\|:;,+()\[\]{}'"`~!@#$%^&*=<>?-]+"""
 
-#: Compatibility forms that prescriptions have: full-width ASCII, wide blanks, the micro sign; and squared units.
-_WIDE = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in (*range(0xFF01, 0xFF5F), 0x3000, 0xA0, 0xB5)}
-_SQUARED = {"㎎": "mg", "㎍": "μg", "㎏": "kg"}
-
+#: Compatibility forms (NFKC) of single signs: those that are one sign and those that are several, from the rule itself.
+_FORMS = {c: n for c in map(chr, (*range(0xA0, 0xD800), *range(0xF900, 0xFFFF))) if (n := unicodedata.normalize("NFKC", c)) != c}
+_SINGLE = {c: n for c, n in _FORMS.items() if len(n) == 1}
+_SEVERAL = {c: n for c, n in _FORMS.items() if len(n) > 1}
+#: First, middle and last letters that make a Hangul syllable when they stand together.
+_LETTERS = "[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?"
+
+# Units and the pattern of a dose.
 UNIT = r"mcg|ug|μg|㎍|mg|㎎|g"
 DOSE = rf"(?iuU)(?<![\d.])([+-]?(?:\d+(?:\.\d+)?|\.\d+))\s*({UNIT})(?![a-z])"
 
@@ -44,11 +48,28 @@ def split_medications(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), SEPARATORS), strip), lambda m: m != "")
 
 
+def _syllable(letters: Column) -> Column:
+    """The syllable of two or three letters, by its place in the code; other text as it is."""
+    code = lambda k: F.ascii(F.substr(letters, F.lit(k), F.lit(1)))
+    last = F.when(F.length(letters) > 2, code(3) - 0x11A7).otherwise(0)
+    whole = ((code(1) - 0x1100) * 21 + code(2) - 0x1161) * 28 + last + 0xAC00
+    return F.when(letters.rlike(f"^{_LETTERS}$"), F.decode(F.unhex(F.hex(whole)), "UTF-16BE")).otherwise(letters)
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def plain_forms(c: Column) -> Column:
-    """Compatibility forms replaced by plain ones."""
-    for sign, plain in _SQUARED.items():
-        c = F.replace(c, F.lit(sign), F.lit(plain))
-    return F.translate(c, "".join(_WIDE), "".join(_WIDE.values()))
+    """Compatibility forms replaced by plain ones, Hangul letters put together. ASCII texts are left alone. Accents that
+    stand behind their letter stay there."""
+    several = F.create_map(*[F.lit(x) for kv in _SEVERAL.items() for x in kv])
+    spelt = lambda x: F.array_join(F.transform(F.split(x, ""), lambda sign: F.coalesce(F.try_element_at(several, sign), sign)), "")
+    single = lambda x: F.translate(F.when(x.rlike(f"[{''.join(_SEVERAL)}]"), spelt(x)).otherwise(x), "".join(_SINGLE), "".join(_SINGLE.values()))
+    composed = lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit(f"(?s){_LETTERS}|."), F.lit(0)), _syllable), "")
+    plain = _let(single(c), lambda x: F.when(x.rlike(_LETTERS), composed(x)).otherwise(x))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), plain).otherwise(c)
 
 
 def normalize_text(c: Column) -> Column:
@@ -76,8 +97,3 @@ def drug_only(normal: Column) -> Column:
 def formula_guard(c: Column) -> Column:
     """An apostrophe before a text that a spreadsheet would take for a formula."""
     return F.when(c.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)
-
-
-def visual_width(c: Column) -> Column:
-    """Length in columns: signs beyond ASCII count twice."""
-    return F.length(c) + F.length(F.regexp_replace(c, r"[\x00-\x7F]", ""))

@@ -2,6 +2,7 @@
 
 import math
 import re
+import unicodedata
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -196,3 +197,11 @@ def test_nearest_names_are_of_distinct_texts(spark):
     plan = M.match_drugs(frame(spark, ["seroqual 1mg", "x"]), "medication")._jdf.queryExecution().optimizedPlan().toString()
     lines = [line.strip() for line in plan.splitlines() if "bit_count" in line]
     assert len(lines) == 1 and lines[0].startswith("+- Aggregate [_asked")
+
+
+def test_compatibility_forms(spark):
+    """As the library has them, but for accents behind their letter; decomposed Hangul names its drug."""
+    texts = ["리스페달 2㎎", unicodedata.normalize("NFD", "리스페달 2mg 아빌리파이"), "ﾘｽ ①②½ ㎍ ﬁ Ⅳ ２．５ｍｇ", "㋿ ㍿ µg x² é", "", "plain"]
+    out = frame(spark, texts).orderBy("k").select(T.plain_forms(F.col("medication")).alias("t")).collect()
+    assert [r.t for r in out] == [unicodedata.normalize("NFKC", t) for t in texts]
+    assert [r.drug for r in M.match_drugs(frame(spark, [unicodedata.normalize("NFD", "리스페달 2mg"), "x"]), "medication").orderBy("k").collect()] == ["risperidone", None]
