@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 
 from posolog.functions.dose import has_dose
 from posolog.functions.numbers import rounded
-from posolog.functions.text import cell_text, formula_guard, split_medications
+from posolog.functions.text import cell_text, formula_guard, split_medications, strip
 from posolog.operators.anonymize import anonymize, patient_map
 from posolog.operators.convert import convert_all, method_warning, selected
 from posolog.operators.detect import Roles, detect_columns
 from posolog.operators.parse import parse_rx
-from posolog.plans.dims import MESSAGES
+from posolog.plans.dims import MESSAGES, NO_TEXT
+from posolog.sources.work import stored
 
 # Columns of the three tables.
 DETAILED = ["sheet", "source_row", "medication_column", "patient", "original", "drug", "dose_mg", "frequency", "daily_dose_mg", "method", "target_drug", "equivalent_dose_mg", "warning", "match_type", "match_score", "needs_review", "method_warning"]
 AUDIT = ["sheet", "source_row", "medication_column", "patient", "original", "parsed", "match_type", "match_score", "status", "unavailable_methods"]
 ERRORS = ["sheet", "source_row", "medication_column", "patient", "original", "error"]
 _PLACE = ["sheet", "sheet_idx", "row_index", "source_row", "medication_column", "patient"]
+# Fixed value: a unit in a header.
 _HEADER_UNIT = re.compile(r"(?:^|[_\s(])(mcg|ug|μg|㎍|mg|㎎|g)(?:$|[_\s)])")
 
 
@@ -95,7 +97,7 @@ def explode_items(rows: DataFrame) -> DataFrame:
 
 
 def run_batch(sheets: Iterable[Sheet], methods: str | Iterable[str] = "ALL", messages: bool = True) -> Report:
-    """The three tables, without order; errors as messages or as codes.
+    """The three tables, without order; errors as messages or as codes. Items are parsed once, into a scratch table.
 
     A medication with no factor in any selected method is an error; one with some is in the audit with the others named.
     """
@@ -106,7 +108,7 @@ def run_batch(sheets: Iterable[Sheet], methods: str | Iterable[str] = "ALL", mes
     if rows is None:
         empty = spark.createDataFrame([], "sheet string")
         return Report(empty.select(*[F.lit(None).alias(c) for c in DETAILED]), empty.select(*[F.lit(None).alias(c) for c in AUDIT]), _told(none, messages))
-    parsed = parse_rx(explode_items(rows)).drop("medication")
+    parsed = stored(parse_rx(explode_items(rows)).drop("medication"))
     values = convert_all(parsed, chosen)
     detailed = values.filter("factor IS NOT NULL").select(
         *[rounded(F.col(c), 1).alias(c) if c == "match_score" else method_warning(F.col("method"), F.col("drug"), F.col("target_drug")).alias(c) if c == "method_warning" else F.col(c) for c in DETAILED]
@@ -147,3 +149,22 @@ def api_parse(df: DataFrame, text_col: str = "text", id_col: str = "id") -> Data
     good = values.groupBy(id_col, "item_pos", *fields).agg(F.array_sort(F.collect_list(value)).alias("conversions"))
     bad = parsed.filter("error IS NOT NULL").select(id_col, "item_pos", *fields, F.lit(None).cast(good.schema["conversions"].dataType).alias("conversions"))
     return good.unionByName(bad).withColumn("ok", F.col("error").isNull())
+
+
+#: Fields of a reply's item, in order.
+_SHOWN = ["ok", "original", "drug", "dose_mg", "frequency", "frequency_per_day", "daily_dose_mg", "warning", "match_type", "match_score", "needs_review"]
+
+
+def api_json(df: DataFrame, body_col: str = "body", id_col: str = "id") -> DataFrame:
+    """Rows (id, reply): JSON requests {"text": ..} answered as JSON {"items": [..]}; bodies that are no such request, or
+    have a blank text, as {"error": ..}. Items are in the order of the text and those with an error show it."""
+    asked = df.select(id_col, strip(F.coalesce(F.from_json(F.col(body_col).cast("string"), "text string")["text"], F.lit(""))).alias("text"))
+    table = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
+    items_ = api_parse(asked, "text", id_col)
+    good = F.struct(*[F.col(c) for c in _SHOWN], "conversions")
+    bad = F.struct("ok", "original", F.try_element_at(table, "error").alias("error"), F.lit(True).alias("needs_review"))
+    shown = items_.select(id_col, "item_pos", F.when(F.col("ok"), F.to_json(good, {"ignoreNullFields": "false"})).otherwise(F.to_json(bad)).alias("item"))
+    replies = shown.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("item_pos", "item"))).alias("items"))
+    listed = F.concat(F.lit('{"items":['), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit("]}"))
+    none = F.when(F.col("text") == "", F.to_json(F.struct(F.lit(NO_TEXT).alias("error")))).otherwise('{"items":[]}')
+    return asked.join(replies, id_col, "left").select(id_col, F.coalesce(listed, none).alias("reply"))
