@@ -268,6 +268,8 @@ SELECT id, item_pos, error IS NULL AS ok, original, drug, daily_dose_mg, needs_r
     "patient_score": f"SELECT pos, header, {_patient('header')} AS score FROM {_headers()}",
     "content_score": f"WITH sp AS (SELECT *, concat(drug, ' ', dose_mg, 'mg') AS free FROM ({SPLIT})) " + " UNION ALL ".join(f"({_content(c, k)})" for k, c in enumerate(["drug", "dose_mg", "unit", "frequency", "free"])),
     "detect_columns": "SELECT * FROM (VALUES ('free', 'patient_id', 'medication', NULL, NULL, NULL), ('split', 'patient_id', 'drug', 'dose_mg', 'unit', 'frequency')) AS t(sheet, patient, medication, dose, unit, frequency)",
+    "src_csv": """SELECT * FROM (VALUES ('P001', 'Risperdal', '2', 'mg', 'BID', 0::BIGINT), ('P002', 'Abilify', '15', 'mg', 'QD', 1), ('환자3', '리스페달 ', NULL, 'mg', 'BID', 2),
+  ('환자4', '리스페달 2mg BID' || chr(10) || '아빌리파이 15mg QD', NULL, NULL, NULL, 3)) t(patient_id, drug, dose, unit, frequency, row_index)""",
     "header_score": f"""WITH c(row, cells) AS (VALUES (0, ['Report', '', '']), (1, ['patient_id', 'medication', 'drug']), (2, ['Unnamed: 0', 'x', 'rx']), (3, []))
 SELECT row, CASE WHEN len(cells) = 0 THEN -1.0 ELSE round(CAST(len(list_filter(cells, lambda x: x <> '' AND NOT starts_with(lower(x), 'unnamed:'))) AS DOUBLE) / len(cells) + 3 * len(list_filter(cells, lambda x: {' OR '.join(f"contains(lower(x), {text(w)})" for w in H.MEDICATION)})), 6) END AS header_score FROM c""",
     "sample": "SELECT * FROM (VALUES ('P001', 'Risperdal', '2', 'mg', 'BID'), ('P002', 'Abilify', '15', 'mg', 'QD')) AS t(patient_id, drug, dose, unit, frequency)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -9,11 +10,12 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from posolog.operators.detect import header_score
+from posolog.operators.detect import header_scores
 from posolog.plans.batch import Sheet
+from posolog.sources.work import stored
 
 # Extensions, the most sheets of a workbook, the rows that may be a header, delimiters, texts for nothing.
 EXTENSIONS = ("csv", "xls", "xlsx")
@@ -90,13 +92,21 @@ def _broken_cells(spark: SparkSession, path: str, sep: str) -> bool:
 def numbered(df: DataFrame, column: str = "row_index") -> DataFrame:
     """Adds the rows' numbers from 0 in the order of the file: one count for each part of it, no shuffle of rows."""
     marked = df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id(), "_start": F.input_file_block_start()})
-    parts = marked.groupBy("_part").agg(F.count("*").alias("n"), F.min("_start").alias("s")).orderBy("s", "_part").collect()
-    before, total = [], 0
-    for part in parts:
-        before.append((part["_part"], total))
-        total += part["n"]
-    offsets = F.create_map(*[F.lit(x) for pair in before for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
-    return marked.withColumn(column, (F.try_element_at(offsets, "_part") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_part", "_at", "_start")
+    parts = marked.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_start").alias("_begin"))
+    earlier = Window.orderBy("_begin", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = marked.join(F.broadcast(before), "_part")  # a row for each task of the scan
+    return placed.withColumn(column, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).select(*[F.col(f"`{c}`") for c in df.columns], column)
+
+
+def unique_names(cells: list[str | None]) -> list[str]:
+    """A header's names: unnamed cells by their place, repeated names with a number behind."""
+    names, seen = [], {}
+    for k, c in enumerate(cells):
+        base = c or f"Unnamed: {k}"
+        seen[base] = seen.get(base, -1) + 1
+        names.append(f"{base}.{seen[base]}" if seen[base] else base)
+    return names
 
 
 def read_csv(spark: SparkSession, path: str) -> Sheet:
@@ -114,6 +124,9 @@ def read_csv(spark: SparkSession, path: str) -> Sheet:
     if broken and len(rows.columns) > 1:  # lines of blanks, which reading by parts leaves out
         head, *others = [F.col(f"`{c}`") for c in rows.columns]
         rows = rows.filter(head.isNull() | (F.trim(head) != "") | F.coalesce(*others, F.lit(None).cast("string")).isNotNull())
+    names = unique_names(next(csv.reader(io.StringIO(header_record(first)), delimiter=sep), []))
+    if len(names) == len(rows.columns):
+        rows = rows.toDF(*names)
     clean = rows.select(*[F.when(~F.col(f"`{c}`").isin(*NA_TEXTS), F.col(f"`{c}`")).alias(c) for c in rows.columns])
     return Sheet("Sheet1", numbered(clean))
 
@@ -132,7 +145,7 @@ def _column(ref: str) -> int:
 
 
 def workbook_rows(data: bytes) -> Iterator[tuple[str, int, int, list[str | None]]]:
-    """(sheet, its place, row, cells) of an .xlsx file; whole numbers come without a point."""
+    """(sheet, its place, row, cells) of an .xlsx file, a row -1 before each sheet's; whole numbers come without a point."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
@@ -140,6 +153,7 @@ def workbook_rows(data: bytes) -> Iterator[tuple[str, int, int, list[str | None]
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         for k, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")):
             target = targets[sheet.get(f"{_REL}id")].lstrip("/")
+            yield sheet.get("name"), k, -1, []
             for at, row in enumerate(ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_MAIN}row")):
                 cells: list[str | None] = []
                 for j, c in enumerate(row):
@@ -158,41 +172,50 @@ def workbook_rows(data: bytes) -> Iterator[tuple[str, int, int, list[str | None]
                 yield sheet.get("name"), k, int(row.get("r") or at + 1) - 1, cells
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (sheet, sheet_idx, row, cells) of a workbook, in long form as sheets differ in their columns."""
+def _marked_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (sheet, sheet_idx, row, cells, error) of a workbook. Each sheet has a row -1 without cells; a file that is no
+    workbook has a row with an error alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                rows = list(workbook_rows(data))
-                kinds = (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-                columns = list(zip(*rows, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["sheet", "sheet_idx", "row", "cells"])
+                try:
+                    rows = [(*r, None) for r in workbook_rows(data)]
+                except (zipfile.BadZipFile, KeyError, IndexError, ValueError, ElementTree.ParseError) as error:
+                    rows = [(None, None, None, None, f"no workbook: {error}")]
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.string())
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["sheet", "sheet_idx", "row", "cells", "error"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "sheet string, sheet_idx int, row bigint, cells array<string>")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "sheet string, sheet_idx int, row bigint, cells array<string>, error string")
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (sheet, sheet_idx, row, cells) of a workbook, in long form as sheets differ in their columns."""
+    return _marked_cells(spark, path).filter("row >= 0").drop("error")
 
 
 def read_xlsx(spark: SparkSession, path: str) -> list[Sheet]:
-    """A workbook's sheets; each header is the best of the first rows. ValueError for more than MAX_SHEETS."""
+    """A workbook's sheets, empty ones too, as wide as their widest rows. Each header is the best of the first
+    HEADER_ROWS rows, blank ones among them, the first of equally good ones. ValueError for more than MAX_SHEETS sheets
+    and for a file that is no workbook."""
     check_name(path)
-    cells = read_cells(spark, path)
-    heads: dict[tuple[int, str], list[tuple[int, list[str | None]]]] = {}
-    for r in cells.filter(F.col("row") < HEADER_ROWS).orderBy("sheet_idx", "row").collect():
-        heads.setdefault((r["sheet_idx"], r["sheet"]), []).append((r["row"], r["cells"]))
-    if len(heads) > MAX_SHEETS:
+    cells = stored(_marked_cells(spark, path))
+    broken = cells.filter("error IS NOT NULL").first()
+    if broken:
+        raise ValueError(broken["error"])
+    sheets = cells.groupBy("sheet_idx", "sheet").agg(F.max(F.size("cells")).alias("width")).orderBy("sheet_idx").collect()
+    if len(sheets) > MAX_SHEETS:
         raise ValueError(f"more than {MAX_SHEETS} sheets")
     out = []
-    for (k, name), rows in heads.items():
-        width = max(len(c) for _, c in rows)
-        at, head = max(rows, key=lambda x: (header_score([*x[1], *[None] * (width - len(x[1]))]), -x[0]))
-        names, seen = [], {}
-        for j, c in enumerate([*head, *[None] * (width - len(head))]):
-            base = c if c else f"Unnamed: {j}"
-            seen[base] = seen.get(base, -1) + 1
-            names.append(f"{base}.{seen[base]}" if seen[base] else base)
-        own = cells.filter((F.col("sheet_idx") == k) & (F.col("row") > at))
+    for k, name, width in sheets:
+        own = cells.filter(F.col("sheet_idx") == k).drop("sheet", "sheet_idx", "error")
+        first = spark.range(HEADER_ROWS).toDF("row").join(own.filter("row >= 0"), "row", "left")
+        padded = first.select("row", F.transform(F.sequence(F.lit(0), F.lit(max(width - 1, 0))), lambda j: F.get("cells", j)).alias("cells"))
+        at, head, _ = header_scores(padded).orderBy(F.desc("header_score"), "row").first()
+        names = unique_names(head if width > 0 else [])
         fields = [F.when(~F.get("cells", F.lit(j)).isin(*NA_TEXTS), F.get("cells", F.lit(j))).alias(n) for j, n in enumerate(names)]
-        out.append(Sheet(name, own.select((F.col("row") - at - 1).alias("row_index"), *fields), at))
+        out.append(Sheet(name, own.filter(F.col("row") > at).select((F.col("row") - at - 1).alias("row_index"), *fields), at))
     return out
 
 
