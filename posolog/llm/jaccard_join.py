@@ -31,6 +31,8 @@ SHINGLE_WORDS = 4
 THRESHOLD = (85, 100)
 #: Buckets of up to so many sets give their pairs.
 PAIRED = 32
+#: Buckets before its own that a member of a bucket names.
+NAMED_BEFORE = 64
 #: Members that name the core of a large bucket.
 CORE_SETS = 9
 #: Broadcast ids of documents, or pairs of them, only up to so many; more are joined by a shuffle.
@@ -189,12 +191,19 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of buckets with up to PAIRED members that the sizes of their sets allow."""
+    """Pairs (a, b) of buckets with up to PAIRED members that the sizes of their sets allow.
+
+    A pair comes from the first of its buckets: each member names up to NAMED_BEFORE of its buckets before this one, and
+    pairs that meet there aren't made again.
+    """
     num, den = threshold
-    groups = rows.filter(F.col("members") <= PAIRED).groupBy("g").agg(F.array_sort(F.collect_set(F.struct("v", "n"))).alias("m"))
-    met = groups.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, PAIRED)).alias("y"))
-    fits = (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")) & (F.col("x.v") < F.col("y.v"))
-    return met.filter(fits).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
+    before = Window.partitionBy("v").orderBy("g").rowsBetween(-NAMED_BEFORE, -1)
+    paired = rows.filter(F.col("members") <= PAIRED).withColumn("before", F.collect_list("g").over(before))
+    groups = paired.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("v", "n", "before"))).alias("m"))
+    fits = lambda x, y: (den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"])) & (x["v"] < y["v"]) & ~F.arrays_overlap(x["before"], y["before"])
+    met = groups.select(F.posexplode("m").alias("i", "x"), "m")
+    met = met.select("x", F.explode(F.filter(F.slice("m", F.col("i") + 2, PAIRED), lambda y: fits(F.col("x"), y))).alias("y"))
+    return met.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
 
 
 def _named(*tables: DataFrame) -> DataFrame:
