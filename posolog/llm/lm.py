@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posolog.llm.common import written
+from posolog.llm.common import pieces, raw_texts, released, written
 
 HELD_OUT = (7, 2)
 #: Words that the model names, and the sizes of its vectors.
@@ -39,21 +39,18 @@ def words(raw: bytes | None) -> list[bytes]:
     return (raw or b"").lower().split()
 
 
-def _raw(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.binary()).to_pylist()
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """Rows (word, c) over all texts; the empty word is the end, once a text."""
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "c"])
 
-        for batch in batches:
-            for raw in _raw(batch.column(0)):
+        for batch in pieces(batches, 0):
+            for raw in raw_texts(batch.column(0)):
                 held.update(words(raw))
                 held[END] += 1
                 if len(held) >= COUNTED_WORDS:
@@ -93,10 +90,11 @@ def pair_counts(texts: DataFrame, names: dict[bytes, int]) -> np.ndarray:
     """How often each symbol follows each in all texts: at most (NAMED + 2)^2 numbers."""
     size, held = len(names) + 2, texts.sparkSession.sparkContext.broadcast(names)
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, codes, waiting = np.zeros(size * size, np.int64), [], 0
-        for batch in batches:
-            for raw in _raw(batch.column(0)):
+        for batch in pieces(batches, 0):
+            for raw in raw_texts(batch.column(0)):
                 s = _symbols(words(raw), held.value)
                 codes.append(s[:-1] * size + s[1:])
                 waiting += len(s)
@@ -159,11 +157,12 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     other_words = distinct - len(named) - (END in held)
     shared = spark.sparkContext.broadcast((held, names, model.log10()))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, names, table = shared.value
-        for batch in batches:
+        for batch in pieces(batches, 1):
             rows = []
-            for raw in _raw(batch.column(1)):
+            for raw in raw_texts(batch.column(1)):
                 found = words(raw)
                 symbols = _symbols(found, names)
                 own = np.fromiter((held.get(w, -1) for w in found), np.int64, len(found))
