@@ -62,6 +62,23 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The counts of the most frequent words, most frequent first, at most `most` and the end.
+
+    A histogram over powers of the count tells from where on words are few enough; no task sorts words.
+    """
+    power = F.floor(F.log2("c") * 8)
+    sizes = counts.groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect()
+    total, least = 0, 1 << 20
+    for power_, n in sizes:
+        total += n
+        if total > most:
+            break
+        least = power_
+    often = counts.filter((power >= least) | (F.col("word") == F.lit(END))).toArrow()
+    return dict(sorted(zip(often["word"].to_pylist(), often["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0])))
+
+
 class Model(NamedTuple):
     """Symbols: 0 the end (and begin), 1 any other word, from 2 on the named words."""
 
@@ -148,8 +165,7 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     training = docs.filter(~F.col("held_out")).select(text_col)
     counts = written(word_counts(training), "word-counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    often = counts.orderBy(F.desc("c"), "word").limit(HELD_WORDS).toArrow()
-    held = dict(zip(often["word"].to_pylist(), often["c"].to_pylist(), strict=True))
+    held = frequent(counts, HELD_WORDS)
     named = [w for w in list(held)[: NAMED + 1] if w != END][:NAMED]
     names = {w: k for k, w in enumerate(named, start=2)}
     model = train(pair_counts(training, names), names)

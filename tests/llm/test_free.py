@@ -291,3 +291,57 @@ def test_lm_held_words_and_joined_words_agree(spark, monkeypatch):
     monkeypatch.setattr(lm, "NAMED", 510)
     two = {r.doc_id: r for r in lm.score_documents(rows).collect()}
     assert all(abs(one[i].base_score - two[i].base_score) < 1e-9 and one[i].n_known == two[i].n_known for i in one)
+
+
+def test_lm_frequent_words(spark):
+    from posolog.llm import lm
+
+    rows = [(f"w{k}".encode(), 1 + k * k) for k in range(100)] + [(b"", 1)]
+    counts = spark.createDataFrame(rows, "word binary, c bigint")
+    for most in (0, 1, 10, 60, 101, 500):
+        found = lm.frequent(counts, most)
+        words = [w for w in found if w]
+        assert b"" in found and len(found) <= most + 1 and words == sorted(words, key=lambda w: -found[w])
+        assert set(words) == {w for w, c in rows if w and c >= min((found[x] for x in words), default=1 << 60)}
+    assert len(lm.frequent(counts, 500)) == 101 and len(lm.frequent(counts, 60)) > 40
+
+
+def test_quality_is_brute_force(spark):
+    """Every cosine with every labelled document, and the votes of the nearest."""
+    from posolog.llm import quality
+
+    docs, labels = labelled(200)
+    frame = spark.createDataFrame([*docs, (500, docs[1][1]), (501, "")], DOCS)
+    votes = fit(frame, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    out = {r.doc_id: r.score for r in score_quality(frame, votes).collect()}
+    for i, t in [*docs, (501, "")]:
+        places, counts = quality.features(t.encode())
+        own = quality.weighted(places, counts, votes.idf) @ votes.basis[places]
+        size = math.sqrt(sum(float(x) ** 2 for x in own)) or 1.0
+        near = [round(sum(float(a) * float(b) for a, b in zip(own, v, strict=True)) / size, quality.PLACES) for v in votes.vectors]
+        least = sorted(near)[-quality.NEIGHBOURS]
+        weights = [max(c, 0) ** quality.SHARPNESS if c >= least else 0 for c in near]
+        want = sum(w * x for w, x in zip(weights, votes.labels, strict=True)) / sum(weights) if sum(weights) else votes.share
+        assert abs(out[i] - want) < 1e-3
+    assert out[500] == out[1]
+
+
+def test_media_digests_and_features(spark):
+    """The round trip's digests and features, worked out plainly from the text and its file."""
+    rows = [(1, None), (2, ""), (3, "é" * 4000), (4, "x" * 577), (4, "x" * 577)]
+    frame = spark.createDataFrame([(*r, "m") for r in rows], DOCS + ", media string")
+    out = matroska.round_trip(frame)
+    assert matroska.round_trip(frame.limit(0)).count() == 0
+    for r in out.collect():
+        raw = (r.text or "").encode()
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        media = matroska.pack(payload)
+        mean = sum(payload) / len(payload)
+        spread = math.sqrt(sum((x - mean) ** 2 for x in payload) / len(payload))
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:]))  # noqa: B905
+        frames = len(payload) // 576
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes, r.media) == (len(raw), len(payload), len(media), "m")
+        assert (r.payload_sha256, r.media_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(media).hexdigest(), zlib.crc32(payload[-32:]))
+        told = dict(x.split("=") for x in r.feature.split(";"))
+        assert (told["frames"], told["clusters"], told["ms"], told["crossings"]) == (str(frames), str(-(-frames // 384)), str(frames * 72), str(crossings))
+        assert abs(float(told["mean"]) - mean) < 1e-3 and abs(float(told["deviation"]) - spread) < 1e-3
