@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from posolog.llm import jaccard_join, matroska, queries, warc
 from posolog.llm.bpe import decode, encode, recode, vocabulary, vocabulary_path
 from posolog.llm.components import connected
-from posolog.llm.lm import score_documents, train
+from posolog.llm.lm import score_documents
 from posolog.llm.quality import fit, score_quality
 from posolog.llm.url_filter import DigestList, built, judge_urls
 
@@ -275,11 +275,78 @@ def test_lm(spark):
 
 
 def test_lm_is_normalised():
-    pairs = np.array([[0, 50, 5], [40, 5, 10], [15, 0, 0]], float)
-    table = train(pairs, {b"x": 2}).log10()
-    assert np.allclose((10**table).sum(1), 1)
-    share = pairs / pairs.sum(1, keepdims=True)
-    assert np.abs(10**table - share).max() < 0.1
+    """Every symbol's probability by the formula, after learning from a chain in which two words back decide."""
+    from posolog.llm import lm
+
+    random.seed(3)
+    size, texts = lm.CLASSES + 5, []
+    for _ in range(600):
+        text = random.choices(range(lm.CLASSES + 1, size), k=2)
+        while len(text) < 30:
+            text.append(text[-2] if random.random() < 0.9 else random.randrange(lm.CLASSES + 1, size))
+        texts.append([*text, 0])
+    symbols, begins = np.concatenate(texts).astype(np.int32), np.cumsum([0] + [len(t) for t in texts[:-1]])
+    plan = lm.layout(np.bincount(symbols, minlength=size))
+    model = lm.Model(plan)
+    learner = lm.Learner(model, plan, 1)
+    for _ in range(30):
+        learner.learn(symbols, begins)
+
+    def logs(text):
+        out = []
+        for k, s in enumerate(text):
+            back = [text[k - j] if k >= j else 0 for j in range(1, lm.CONTEXT + 1)]
+            c = sum(model.contexts[j * len(model.targets) + x].astype(float) for j, x in enumerate(back))
+            of_groups = np.exp(model.groups @ c + model.group_bias)
+            group = slice(s // plan.width * plan.width, (s // plan.width + 1) * plan.width)
+            of_symbols = np.exp(model.targets[group] @ c + model.bias[group])
+            out.append(math.log10(of_groups[s // plan.width] / of_groups.sum() * of_symbols[s % plan.width] / of_symbols.sum()))
+        return out
+
+    got = model.log10(symbols[: begins[20]], begins[:20])
+    assert np.allclose(got, [x for t in texts[:20] for x in logs(t)], atol=1e-4)
+    assert np.allclose(model.log10(symbols, begins)[: begins[20]], got, atol=1e-4)
+    back = [lm.CLASSES + 1, lm.CLASSES + 2, lm.CLASSES + 1]
+    every = [10 ** logs([*back, s])[-1] for s in range(size)]
+    assert abs(sum(every) - 1) < 1e-4 and every[lm.CLASSES + 2] > 0.7
+
+
+def test_lm_classes_share_out_what_they_have():
+    from posolog.llm import lm
+
+    held = {b"x": 9, b"": 4, b"y": 3, b"z": 1}
+    tokens, distinct = np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)
+    for w in (b"y", b"z"):
+        tokens[zlib.crc32(w) % lm.CLASSES] += held[w]
+        distinct[zlib.crc32(w) % lm.CLASSES] += 1
+    vocabulary = lm.Vocabulary(held, 1, tokens + distinct + 1)
+    found, is_word, places, symbols, begins = vocabulary.read([b"X new y", None, b"z"])
+    of = lambda w: zlib.crc32(w) % lm.CLASSES + 1
+    assert found == [b"x", b"new", b"y", b"z"] and symbols.tolist() == [lm.CLASSES + 1, of(b"new"), of(b"y"), 0, 0, of(b"z"), 0]
+    assert begins.tolist() == [0, 4, 5] and places.tolist() == [0, -1, 1, 2] and is_word.sum() == 4
+    for k in {of(b"y"), of(b"z")}:
+        counts = [held[w] for w in (b"y", b"z") if of(w) == k]
+        assert math.isclose(sum(c + 1 for c in counts) + 1, 10 ** vocabulary.class_logs[k])
+
+
+def test_lm_averages_by_what_tasks_have_seen():
+    from posolog.llm import lm
+
+    plan = lm.layout(np.ones(lm.CLASSES + 3000))
+    learners = []
+    for task in range(3):
+        learner = lm.Learner(lm.Model(plan, seed=task), plan, task)
+        for seen in learner.seen:
+            seen[:] = np.random.default_rng(task).integers(1, 9, len(seen))
+        learners.append(learner)
+    rows = sorted(((b["k"][0].as_py(), b["first"][0].as_py(), x.rng.random(), b) for x in learners for b in lm._passed_on(x, 0)), key=lambda r: r[:3])
+    out = list(lm._averages(iter([r[3] for r in rows])))
+    for k, table in enumerate(learners[0].model.arrays()):
+        parts = [np.frombuffer(b["sums"][0].as_py(), np.float32) for b in out if b["k"][0].as_py() == k]
+        weights = np.stack([x.seen[k] for x in learners])
+        tables = np.stack([x.model.arrays()[k].reshape(len(table), -1) for x in learners])
+        want = (tables * weights[:, :, None]).sum(0) / weights.sum(0)[:, None]
+        assert np.allclose(np.concatenate(parts).reshape(want.shape), want, rtol=1e-3, atol=1e-5)
 
 
 def test_lm_held_words_and_joined_words_agree(spark, monkeypatch):
@@ -288,7 +355,6 @@ def test_lm_held_words_and_joined_words_agree(spark, monkeypatch):
     rows = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 97}" for j in range(30))) for k in range(60)], DOCS)
     one = {r.doc_id: r for r in lm.score_documents(rows).collect()}
     monkeypatch.setattr(lm, "HELD_WORDS", 20)
-    monkeypatch.setattr(lm, "NAMED", 510)
     two = {r.doc_id: r for r in lm.score_documents(rows).collect()}
     assert all(abs(one[i].base_score - two[i].base_score) < 1e-9 and one[i].n_known == two[i].n_known for i in one)
 
