@@ -323,9 +323,10 @@ def learnt(texts: DataFrame, vocabulary: Vocabulary, plan: Layout) -> Model:
     """The model of all texts: tasks learn from their own, from where the texts of one hash in WARM have brought it."""
     model, squares, tokens = Model(plan), None, int(plan.shares.sum())
     passes = min(PASSES, max(1, TASK_TOKENS // tokens))
-    texts = texts.coalesce(max(1, tokens // TASK_TOKENS))
     spark = texts.sparkSession
-    for part in (texts.filter(F.pmod(F.xxhash64(texts.columns[0]), F.lit(WARM)) == 0), texts):
+    some = texts.filter(F.pmod(F.xxhash64(texts.columns[0]), F.lit(WARM)) == 0)
+    for part, size in ((some, tokens // WARM), (texts, tokens)):
+        part = part.coalesce(max(1, size // TASK_TOKENS))  # every task passes on a model
         shared = spark.sparkContext.broadcast((vocabulary, plan, model, squares))
 
         @released
