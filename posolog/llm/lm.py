@@ -184,7 +184,7 @@ def _chosen(logits: np.ndarray, picks: np.ndarray) -> np.ndarray:
     """Natural log of the softmax at each row's pick."""
     own = logits[np.arange(len(picks)), picks]
     with np.errstate(over="ignore", invalid="ignore"):
-        sums = np.exp(logits).sum(1)
+        sums = np.exp(logits) @ np.ones(logits.shape[1], np.float32)
     if not (np.isfinite(sums) & (sums > 0)).all():
         top = logits.max(1)
         return own - top - np.log(np.exp(logits - top[:, None]).sum(1))
@@ -210,8 +210,10 @@ class Learner:
         #: How often each symbol stood at each place of a context, and was a token itself: the weights of an average.
         self.seen = [np.zeros(len(a), np.int64) for a in model.arrays()]
 
-    def _drawn(self, sums: np.ndarray, low: float, high: float) -> np.ndarray:
-        return np.minimum(np.searchsorted(sums, low + self.rng.random(NOISE) * (high - low), "right"), len(sums) - 1)
+    def _drawn(self, sums: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """NOISE places of the running sums for each row of bounds."""
+        at = low + self.rng.random((len(low), NOISE)) * (high - low)
+        return np.minimum(np.searchsorted(sums, at, "right"), len(sums) - 1)
 
     def _step(self, k: int, rows: np.ndarray, slopes: np.ndarray) -> None:
         """Moves rows of array k along their summed slopes."""
@@ -242,7 +244,7 @@ class Learner:
 
         vectors = m.groups.take(own, axis=0)
         up = _sigmoid(self.group_log[own] - m.group_bias[own] - np.einsum("ij,ij->i", context, vectors))
-        drawn = self._drawn(self.group_ends[1:], 0.0, self.group_ends[-1])
+        drawn = self._drawn(self.group_ends[1:], np.zeros((1, 1)), self.group_ends[-1:, None])[0]
         noise = m.groups[drawn]
         down = _sigmoid(context @ noise.T + (m.group_bias[drawn] - self.group_log[drawn]))
         slope = up[:, None] * vectors - down @ noise
@@ -256,19 +258,26 @@ class Learner:
         slope += up[:, None] * vectors
         target_slopes[symbols[at_symbol]] = np.add.reduceat(up[:, None] * context, at_symbol, axis=0)
         bias_slopes[symbols[at_symbol]] = np.add.reduceat(up, at_symbol)
-        for g, begin, end in zip(own[at_group].tolist(), at_group.tolist(), [*at_group[1:].tolist(), len(own)], strict=True):
-            drawn = self._drawn(self.sums, self.group_ends[g], self.group_ends[g + 1])
-            noise = m.targets[drawn]
-            down = _sigmoid(context[begin:end] @ noise.T + (m.bias[drawn] - self.log[drawn]))
-            slope[begin:end] -= down @ noise
-            np.subtract.at(target_slopes, drawn, down.T @ context[begin:end])
-            np.subtract.at(bias_slopes, drawn, down.sum(0))
+        # noise of every group at once; only products go group by group
+        here, lengths = own[at_group], np.diff(np.r_[at_group, len(own)])
+        drawn = self._drawn(self.sums, self.group_ends[here, None], self.group_ends[here + 1, None])
+        noise, slopes_back = m.targets[drawn], np.empty((*drawn.shape, VECTOR), np.float32)
+        down = np.repeat(m.bias[drawn] - self.log[drawn], lengths, axis=0)
+        parts = [slice(begin, begin + n) for begin, n in zip(at_group.tolist(), lengths.tolist(), strict=True)]
+        for j, part in enumerate(parts):
+            down[part] += context[part] @ noise[j].T
+        down = _sigmoid(down)
+        for j, part in enumerate(parts):
+            slope[part] -= down[part] @ noise[j]
+            np.matmul(down[part].T, context[part], out=slopes_back[j])
+        np.subtract.at(target_slopes, drawn.ravel(), slopes_back.reshape(-1, VECTOR))
+        np.subtract.at(bias_slopes, drawn.ravel(), np.add.reduceat(down, at_group, axis=0).ravel())
 
         for k, slopes, bias in ((1, group_slopes, group_bias_slopes), (2, target_slopes, bias_slopes)):
             rows = np.flatnonzero(bias)
             self._step(k, rows, slopes[rows])
             self._step(k + 2, rows, bias[rows])
-        for k, rows, n in ((1, own[at_group], np.diff(np.r_[at_group, len(own)])), (2, symbols[at_symbol], np.diff(np.r_[at_symbol, len(own)]))):
+        for k, rows, n in ((1, here, lengths), (2, symbols[at_symbol], np.diff(np.r_[at_symbol, len(own)]))):
             self.seen[k][rows] += n
             self.seen[k + 2][rows] += n
         for k in range(CONTEXT):
@@ -280,9 +289,9 @@ class Learner:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.clip(x, -30, 30, out=x)
     np.negative(x, out=x)
-    np.exp(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
